@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 _WHOLE = re.compile(r"\+?(\d+|\d{1,3}(?:,\d{3})+)(?:\.0*)?")
 _POWER = re.compile(r"\+?\d+(?:\.\d*)?[eE][+-]?\d{1,2}")
 MOST = 2**63 - 1
+#: Registers are Python objects: a partition is sized by rows (counted from the file footers) to fit a worker.
+ROWS_A_PARTITION = 400_000
 
 
 def whole_number(text: str | None) -> int | None:
@@ -81,7 +83,7 @@ def slot_registers(df: DataFrame, entity: Sequence[str], attribute: str, version
         return a
 
     spark = df.sparkSession
-    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, df.count() // ROWS_A_PARTITION)
     return rdd.map(cell).combineByKey(create, add, merge, parts)
 
 
