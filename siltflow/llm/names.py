@@ -28,30 +28,37 @@ class NameTrie:
     """Trie over all alias paths of the entries.
 
     Paths of an entry: ``genus epithet``, ``epithet genus``, ``genusepithet`` and ``g epithet``.
-    A node is [children, {(entry, alias)}].
+    A node is [children, {(entry, alias)}]. Paths that begin with an initial have a trie of their own
+    by initial, as only keys with an initial can mean them.
     """
 
     def __init__(self, entries: Iterable[tuple[int, str, str]]):
         self.root: list = [{}, set()]
+        self.by_initial: dict[str, list] = {}
         for ref, genus, epithet in entries:
             if not genus or not epithet:
                 continue
             g, e = genus.lower(), epithet.lower()
-            for alias, path in (("full", f"{g} {e}"), ("swapped", f"{e} {g}"), ("joined", g + e), ("initial", f"{g[0]} {e}")):
-                node = self.root
+            start = self.by_initial.setdefault(g[0], [{}, set()])
+            for alias, node, path in (("full", self.root, f"{g} {e}"), ("swapped", self.root, f"{e} {g}"), ("joined", self.root, g + e), ("initial", start, e)):
                 for c in path:
                     node = node[0].setdefault(c, [{}, set()])
                 node[1].add((ref, alias))
         self.search = lru_cache(maxsize=100_000)(self._search)
 
     def exact(self, key: str) -> list[tuple[int, int, str]]:
-        node = self.root
+        node, key = self._begin(key)
         for c in key:
             node = node[0].get(c)
             if node is None:
                 return []
         return [(ref, 0, alias) for ref, alias in sorted(node[1])]
 
+    def _begin(self, key: str) -> tuple[list, str]:
+        if key[1:2] == " ":
+            return self.by_initial.get(key[0], [{}, set()]), key[2:]
+        return self.root, key
+
     def _search(self, key: str, most: int) -> list[tuple[int, int, str]]:
         """(entry, distance, alias) of all paths at most ``most`` edits from ``key``.
 
@@ -59,25 +66,21 @@ class NameTrie:
         read as the first i letters of the key with d edits. A branch is left when no bit is set.
         A key that starts with an initial keeps it: without its genus an entry cannot be told otherwise.
         """
+        top, key = self._begin(key)
         m = len(key)
         full, end = (1 << (m + 1)) - 1, 1 << m
         at: dict[str, int] = {}
         for i, c in enumerate(key):
             at[c] = at.get(c, 0) | 1 << i
         start = tuple(((1 << (d + 1)) - 1) & full for d in range(most + 1))
-        initial = m > 1 and key[1] == " "
-        todo = [(self.root, start)]
-        if initial:
-            node = self.root[0].get(key[0], [{}, set()])[0].get(" ")
-            todo = [(node, tuple((((1 << (d + 1)) - 1) << 2) & full for d in range(most + 1)))] if node else []
+        todo = [(top, start)]
         found: dict[int, tuple[int, str]] = {}
         while todo:
             node, state = todo.pop()
             for ref, alias in node[1]:
-                if (alias == "initial") == initial:
-                    d = next((d for d, bits in enumerate(state) if bits & end), None)
-                    if d is not None and (ref not in found or (d, alias) < found[ref]):
-                        found[ref] = (d, alias)
+                d = next((d for d, bits in enumerate(state) if bits & end), None)
+                if d is not None and (ref not in found or (d, alias) < found[ref]):
+                    found[ref] = (d, alias)
             for c, child in node[0].items():
                 mask = at.get(c, 0)
                 bits = (state[0] & mask) << 1
@@ -91,14 +94,15 @@ class NameTrie:
                     todo.append((child, tuple(new)))
         return sorted((ref, d, alias) for ref, (d, alias) in found.items())
 
-    def match(self, name: str | None) -> list[tuple[int, int, str]]:
-        """All entries within the budget of some reading of ``name``, nearest first."""
+    def match(self, name: str | None, settle: bool = True) -> list[tuple[int, int, str]]:
+        """All entries within the budget of some reading of ``name``, nearest first; with ``settle`` an
+        exact reading is looked for first and, where there is one, its entries are all."""
         if not name:
             return []
         words = [w for w in _WORD.findall(name.lower()) if w not in QUALIFIERS]
         keys = [f"{a} {b}" for i, a in enumerate(words) for b in words[i + 1 : i + 3] if len(b) > 1]
         keys += [w for w in words if len(w) > 9]
-        hits = [h for k in keys for h in self.exact(k)]
+        hits = [h for k in keys for h in self.exact(k)] if settle else []
         if not hits:
             hits = [h for k in keys for h in self.search(k, budget(len(k.replace(" ", ""))))]
         best: dict[int, tuple[int, str]] = {}

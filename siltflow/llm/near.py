@@ -47,10 +47,10 @@ def anchors(seq: str) -> list[int]:
 def needed_anchors(seq: str, common: dict[int, int]) -> list[int]:
     """Which common anchors (hash -> number of texts) this text has to keep.
 
-    A similar text holds at least ``least`` of this text's substrings. While more than the others
-    lie outside the common anchors, each similar text shares substrings there, and none is needed; else common anchors are
-    kept, the rarest first, until that holds. So stretches like primers, in a third of all texts, make no shard, but a
-    text that consists of common stretches is still compared.
+    A similar text holds at least 0.6 of this text's substrings. While no more than a quarter lie
+    in common anchors, each similar text shares a third of them elsewhere, and none is needed;
+    else common anchors are kept, the rarest first, until that holds. So stretches like primers, in
+    a third of all texts, make no shard, but a text that consists of common stretches is still compared.
     """
     if not common:
         return []
@@ -64,7 +64,7 @@ def needed_anchors(seq: str, common: dict[int, int]) -> list[int]:
     kept: list[int] = []
     while dropped:
         lost = set().union(*(inside.get(x, set()) for x in dropped))
-        if len(all_grams - lost) > 0.4 * len(all_grams):
+        if len(lost) <= 0.25 * len(all_grams):
             break
         kept.append(dropped.pop(0))
     return kept
@@ -144,17 +144,20 @@ def similar_classes(texts: DataFrame, similarity: float = 0.6) -> DataFrame:
     rows = sent.join(seqs, "key")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        out: set[tuple[int, int]] = set()
         sets: dict[int, frozenset[str]] = {}
-        for (_, block), part in group.groupby(["anchor", "block"], sort=False):
-            tree = BKTree()
-            part = part.sort_values(["own", "key"])
-            for key, seq, at in zip(part.key, part.seq, part.own):
-                ones = sets.get(key) or sets.setdefault(key, grams(seq))
-                out.extend((min(key, k), max(key, k)) for k in tree.within(ones, similarity))
-                if at == block:
-                    tree.add(key, ones)
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+        order = np.lexsort((group.key, group.own, group.block, group.anchor))
+        shard, tree = None, BKTree()
+        for anchor, block, own, key, seq in zip(*(group[c].to_numpy()[order].tolist() for c in ("anchor", "block", "own", "key", "seq"))):
+            if (anchor, block) != shard:
+                shard, tree = (anchor, block), BKTree()
+            ones = sets.get(key)
+            if ones is None:
+                ones = sets[key] = grams(seq)
+            out.update((min(key, k), max(key, k)) for k in tree.within(ones, similarity))
+            if own == block:
+                tree.add(key, ones)
+        return pd.DataFrame(list(out), columns=["a", "b"])
 
     spark = texts.sparkSession
     buckets = max(spark.sparkContext.defaultParallelism * 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
