@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltflow import queries_core, sql_core
+from siltflow import queries_core, queries_ref, sql_core, sql_ref
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(queries_core.QUERIES)
+    return queries_core.QUERIES | queries_ref.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql_core.SQL)
+    return sql_core.SQL | sql_ref.SQL

@@ -26,7 +26,7 @@ cells AS (SELECT experiment, id, tag, status,
   CASE WHEN regexp_full_match(t, '\+?(\d+|\d{1,3}(,\d{3})+)(\.0*)?') THEN try_cast(regexp_replace(regexp_replace(t, '[+,]', '', 'g'), '\.0*$', '') AS BIGINT)
        WHEN regexp_full_match(t, '\+?\d+(\.\d*)?[eE][+-]?\d{1,2}') AND try_cast(t AS DOUBLE) = floor(try_cast(t AS DOUBLE)) THEN try_cast(try_cast(t AS DOUBLE) AS BIGINT) END AS n
   FROM c2),
-per AS (SELECT e.experiment, e.id, CAST(count(n) AS BIGINT) n_samples, CAST(coalesce(sum(n), 0) AS BIGINT) total_count, CAST(count(*) FILTER (WHERE n IS NOT NULL AND status = 'head') AS BIGINT) n_head
+per_entity AS (SELECT e.experiment, e.id, CAST(count(n) AS BIGINT) n_samples, CAST(coalesce(sum(n), 0) AS BIGINT) total_count, CAST(count(*) FILTER (WHERE n IS NOT NULL AND status = 'head') AS BIGINT) n_head
   FROM (SELECT DISTINCT experiment, id FROM fasta_to_table) e LEFT JOIN cells c ON c.experiment IS NOT DISTINCT FROM e.experiment AND c.id IS NOT DISTINCT FROM e.id GROUP BY 1, 2)
 """
 
@@ -48,9 +48,9 @@ SQL = {
       pairs AS (SELECT l.tbl, l.parent anc, l.id, CAST(1 AS BIGINT) steps FROM link l JOIN down USING (tbl, id) WHERE l.parent IS NOT NULL
         UNION ALL SELECT p.tbl, l.parent, p.id, p.steps + 1 FROM pairs p JOIN link l ON l.tbl = p.tbl AND l.id = p.anc WHERE l.parent IS NOT NULL)
       SELECT tbl, anc AS node_key, id AS descendant_key, steps FROM pairs""",
-    "p5_found": f"WITH {_CELLS} SELECT * FROM per",
+    "p5_found": f"WITH {_CELLS} SELECT * FROM per_entity",
     "p5_wide": f"""WITH {_CELLS}, long AS (SELECT experiment, id, 'count_' || tag k, CAST(n AS VARCHAR) v FROM cells UNION ALL SELECT experiment, id, 'status_' || tag, status FROM cells)
-      SELECT per.*, w.* EXCLUDE (experiment, id) FROM per LEFT JOIN (
+      SELECT per.*, w.* EXCLUDE (experiment, id) FROM per_entity per LEFT JOIN (
         PIVOT (SELECT experiment, id, tag, n, status FROM cells) ON tag USING any_value(n) AS count, any_value(status) AS status GROUP BY experiment, id) w
       ON w.experiment IS NOT DISTINCT FROM per.experiment AND w.id IS NOT DISTINCT FROM per.id""",
     "p7_totals": f"WITH {_TOTALS} SELECT tbl, exp, sample, n_entries, total_count, max_count FROM tot",
