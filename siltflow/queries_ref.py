@@ -169,3 +169,119 @@ QUERIES |= {
     "merge_replicate_both_occur": lambda s, d: _merged(s, d, "both_occur", 1),
     "merge_replicate_present_absent": lambda s, d: _merged(s, d, "both_occur", 1, True),
 }
+
+
+def _refs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "node").where("node_id is not null").groupBy(F.col("node_id").cast("string").alias("name")).agg(F.min("seq").alias("seq"))
+
+
+FORWARD, REVERSE = "AACTATGGACAG", "GGTCTGTC"
+
+
+def find_primer_binding_sites(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import primers
+
+    return primers.find_primer_binding_sites(_refs(spark, d), FORWARD, max_mismatch=2)
+
+
+def in_silico(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import primers
+
+    return primers.in_silico(_refs(spark, d), [(FORWARD, "ACGGT"), ("GAGGCGCTTG", "TAGC")], mis_match=0, max_hits=100_000)
+
+
+def in_silico_strict(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import primers
+
+    return primers.in_silico_multiprimer(_refs(spark, d), ["AACTAT#GGACRG"], ["ACGGTNA#C"], mis_match=2, try_reverse=True, trim=False)
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = _table(spark, d, "documents").select(F.col("doc_id").alias("rec_no"), F.concat(iupac.dna(F.col("text")), iupac.dna(F.reverse("text"))).alias("t"))
+    odd = F.when(F.col("rec_no") % 3 == 0, F.concat(F.lit("A"), F.substring("t", 22, 43))).otherwise(F.substring("t", 21, 44))
+    one = t.select("rec_no", F.concat(F.lit("@r"), "rec_no").alias("id"), F.substring("t", 1, 44).alias("seq"), F.lit("I" * 44).alias("qual"))
+    two = t.select("rec_no", F.concat(F.lit("@r"), "rec_no").alias("id"), iupac.reverse_complement(odd).alias("seq"), F.lit("5" * 44).alias("qual"))
+    return one, two
+
+
+def pairend(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import pairend as p
+
+    return p.pairend(*_pairs(spark, d)).select("rec_no", "seq", "mismatch", "overlap")
+
+
+def _tagged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    table = _table(spark, d, "control_table").where("tag is not null").select(F.expr("cast(substring(tag, 2) as bigint)").alias("row_no"), F.lit("trnL").alias("exp"), F.col("tag").alias("sample"), F.substring(iupac.dna(F.col("tag")), 1, 8).alias("tags"))
+    table = table.withColumns({"forward_primer": F.lit("GGGCAATCCTGAGCCAA"), "reverse_primer": F.lit("CCATTGAGTCTCTGCACCTATC")})
+    n = _table(spark, d, "documents").select(F.col("doc_id").alias("rec_no"), F.concat(F.lit("F"), F.lpad((F.col("doc_id") % 300).cast("string"), 3, "0")).alias("tag"), iupac.dna(F.col("text")).alias("insert"))
+    tag = F.substring(iupac.dna(F.col("tag")), 1, 8)
+    fwd = F.when(F.col("rec_no") % 5 == 0, "GGGCTATCCTGAGCGAA").otherwise("GGGCAATCCTGAGCCAA")
+    read = F.concat(F.lit("CT"), tag, fwd, "insert", iupac.reverse_complement(F.lit("CCATTGAGTCTCTGCACCTATC")), iupac.reverse_complement(tag), F.lit("A"))
+    return n.select("rec_no", F.col("rec_no").cast("string").alias("id"), F.when(F.col("rec_no") % 2 == 0, iupac.reverse_complement(read)).otherwise(read).alias("seq")), table
+
+
+def demultiplex(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import primers
+
+    reads, table = _tagged(spark, d)
+    return primers.demultiplex(reads, table, primer_mismatch=3).select("rec_no", "identified", "sample", F.when(F.col("identified"), F.col("seq")).alias("insert"), "fwd_mismatch", "rev_mismatch")
+
+
+def _rarefied(spark: SparkSession, d: str, q: int) -> DataFrame:
+    from siltflow.operators import diversity
+
+    out = diversity.rarefaction(latest_cells(spark, d), q=q, endpoint=20_000 if q != 1 else 500)
+    return out.withColumns({"qD": F.round("qD", 6), "SC": F.round("SC", 6)})
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return _observations(spark, d).groupBy("seq").agg(F.sum("cnt").alias("size"))
+
+
+def cluster_table(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import cluster
+
+    obs = _observations(spark, d)
+    clusters = cluster.greedy_clusters(_sized(spark, d), 0.97, "length")
+    return cluster.cluster_table(obs.select(F.col("exp").alias("experiment"), F.col("seq").alias("SEQ"), "sample", F.col("cnt").alias("count")), clusters)
+
+
+def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import cluster
+
+    return cluster.similar_pairs(_sized(spark, d).select("seq"), 0.97)
+
+
+def chimeras(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import cluster
+
+    return cluster.chimeras(_sized(spark, d)).select("seq", "size", "chimeric")
+
+
+def search(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import cluster
+
+    asked = _table(spark, d, "unique_info").where("uniq_id is not null").groupBy(F.col("uniq_id").alias("id")).agg(F.min("seq").alias("seq"))
+    return cluster.search(asked, _refs(spark, d).withColumnRenamed("name", "id"))
+
+
+def streaming_dereplicate(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from siltflow.plans.lineage import ensure_checkpoint_dir
+    from siltflow.streaming import derep as stream
+
+    schema = _table(spark, d, "documents").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    alone = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(schema)
+    source = reader.option("pathGlobFilter", "documents.parquet").parquet(d) if alone else reader.parquet(f"{d}/documents.parquet")
+    reads = source.select(F.col("doc_id").alias("rec_no"), iupac.dna(F.col("text")).alias("seq"), F.col("lang").alias("exp"), F.col("source").alias("sample"))
+    name = f"stream_{uuid.uuid4().hex[:12]}"
+    stream.start(stream.running_counts(reads), name, "complete", f"{ensure_checkpoint_dir(spark)}/{name}").awaitTermination()
+    return spark.table(name)
+
+
+_KERNELS = (find_primer_binding_sites, in_silico, in_silico_strict, pairend, demultiplex, similar_pairs, cluster_table, chimeras, search, streaming_dereplicate)
+QUERIES |= {f.__name__: f for f in _KERNELS}
+QUERIES |= {f"rarefaction_q{q}": (lambda s, d, q=q: _rarefied(s, d, q)) for q in (0, 1, 2)}
