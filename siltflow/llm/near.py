@@ -17,6 +17,7 @@ GRAM = 8
 ANCHOR, RUN = 16, 9  # every common stretch of ANCHOR + RUN - 1 = 24 letters gives both texts the same anchor
 COMMON = 64  # an anchor in more texts than this is common
 SHARD = 256  # texts in a shard's tree
+BITS = 1024  # of a folded presence vector
 
 
 def grams(seq: str) -> frozenset[str]:
@@ -24,24 +25,68 @@ def grams(seq: str) -> frozenset[str]:
     return frozenset(seq[i : i + GRAM] for i in range(len(seq) - GRAM + 1))
 
 
-def _anchor_hashes(seq: str) -> np.ndarray:
-    codes = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(max(len(codes) - ANCHOR + 1, 0), np.uint64)
-    for j in range(ANCHOR):
+def _codes(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts after one another, and where each begins (with the end last)."""
+    parts = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in seqs]
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)).astype(np.uint64), begins
+
+
+def _window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
+    h = np.zeros(max(len(codes) - length + 1, 0), np.uint64)
+    for j in range(length):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(h)] + np.uint64(1)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+    return h ^ (h >> np.uint64(32))
 
 
-def anchors(seq: str) -> list[int]:
-    """Least anchor hash of every run of RUN places; a text too short for one has its own hash."""
-    h = _anchor_hashes(seq)
-    if not len(h):
-        return [int.from_bytes(blake2b(seq.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)]
-    if len(h) <= RUN:
-        return [int(h.min())]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, RUN).min(axis=1)).tolist()
+def _anchor_hashes(seq: str) -> np.ndarray:
+    return _window_hashes(_codes([seq])[0], ANCHOR).view(np.int64)
+
+
+def anchors(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, anchor): least anchor hash of every run of RUN places; a text with fewer places has
+    the least of them, one too short for any its own hash."""
+    codes, begins = _codes(seqs)
+    h = _window_hashes(codes, ANCHOR).view(np.int64)
+    places = np.maximum(np.diff(begins) - ANCHOR + 1, 0)
+    owner, least = [], []
+    if len(h) >= RUN:
+        view = np.lib.stride_tricks.sliding_window_view(h, RUN).min(axis=1)
+        runs = np.maximum(places - RUN + 1, 0)
+        at = np.repeat(begins[:-1], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        owner.append(np.repeat(np.arange(len(seqs)), runs))
+        least.append(view[at])
+    for n in np.nonzero(places < RUN)[0]:
+        owner.append(np.array([n]))
+        own = h[begins[n] : begins[n] + places[n]]
+        least.append(np.array([own.min() if len(own) else int.from_bytes(blake2b(seqs[n].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)]))
+    if not owner:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.unique(np.stack([np.concatenate(owner), np.concatenate(least)]), axis=1)
+    return both[0], both[1]
+
+
+def folded_vectors(seqs: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """Presence vectors folded to BITS bits, and the numbers of distinct substrings.
+
+    Folding joins some places of the vectors, so the Hamming distance of folded vectors is at
+    most that of the whole ones: a search within a radius misses nothing.
+    """
+    codes, begins = _codes(seqs)
+    h = _window_hashes(codes, GRAM)
+    places = np.maximum(np.diff(begins) - GRAM + 1, 0)
+    owner = np.repeat(np.arange(len(seqs)), places)
+    at = np.repeat(begins[:-1], places) + np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places)
+    mine = h[at]
+    bits = np.zeros((len(seqs), BITS), bool)
+    bits[owner, (mine % np.uint64(BITS)).astype(np.int64)] = True
+    order = np.lexsort((mine, owner))
+    o, m = owner[order], mine[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (m[1:] != m[:-1])
+    return [x.tobytes() for x in np.packbits(bits, axis=1)], np.bincount(o[new], minlength=len(seqs))
 
 
 def needed_anchors(seq: str, common: dict[int, int]) -> list[int]:
@@ -73,41 +118,44 @@ def needed_anchors(seq: str, common: dict[int, int]) -> list[int]:
 class BKTree:
     """Metric tree: a node's children are keyed by their integer distance to it.
 
-    The distance is the Hamming distance of presence vectors: the number of substrings found in only one of two texts.
+    The distance is the Hamming distance of folded presence vectors, held as integers.
     """
 
     def __init__(self) -> None:
-        self.nodes: list[tuple[int, frozenset[str], dict[int, int]]] = []
+        self.nodes: list[tuple[int, int, int, dict[int, int]]] = []
         self.largest = 0
 
-    def add(self, key: int, ones: frozenset[str]) -> None:
-        self.largest = max(self.largest, len(ones))
-        if self.nodes:
-            at = 0
-            while True:
-                _, other, children = self.nodes[at]
-                d = len(ones ^ other)
-                if d not in children:
-                    children[d] = len(self.nodes)
-                    break
-                at = children[d]
-        self.nodes.append((key, ones, {}))
-
-    def within(self, ones: frozenset[str], similarity: float) -> Iterator[int]:
-        """Keys of all texts of at least this similarity (shared by distinct substrings of both).
-
-        For texts with a and b substrings that is a distance of at most (a + b) * (1 - s) / (1 + s);
+    def add(self, key: int, vector: int, size: int) -> None:
+        if size > self.largest:
+            self.largest = size
+        at, nodes = 0, self.nodes
+        while nodes:
+            children = nodes[at][3]
+            d = (vector ^ nodes[at][1]).bit_count()
+            if d not in children:
+                children[d] = len(nodes)
+                break
+            at = children[d]
+        nodes.append((key, vector, size, {}))
+
+    def within(self, vector: int, size: int, similarity: float) -> list[int]:
+        """Keys of all texts that may have this similarity (shared by distinct substrings of both).
+
+        Texts with a and b substrings that have it are at a distance of at most (a + b) * (1 - s) / (1 + s);
         the radius is taken for the largest text of the tree, and only edges within it are followed.
         """
-        a, part = len(ones), (1 - similarity) / (1 + similarity)
-        radius = (a + self.largest) * part + 1e-9
-        todo = [0] if self.nodes else []
+        part, found = (1 - similarity) / (1 + similarity), []
+        radius = (size + self.largest) * part + 1e-9
+        todo, nodes = [0] if self.nodes else [], self.nodes
         while todo:
-            key, other, children = self.nodes[todo.pop()]
-            d = len(ones ^ other)
-            if d <= (a + len(other)) * part + 1e-9:
-                yield key
-            todo.extend(n for e, n in children.items() if d - radius <= e <= d + radius)
+            key, other, n, children = nodes[todo.pop()]
+            d = (vector ^ other).bit_count()
+            if d <= (size + n) * part + 1e-9:
+                found.append(key)
+            for e, child in children.items():
+                if d - radius <= e <= d + radius:
+                    todo.append(child)
+        return found
 
 
 def similar_classes(texts: DataFrame, similarity: float = 0.6) -> DataFrame:
@@ -116,53 +164,73 @@ def similar_classes(texts: DataFrame, similarity: float = 0.6) -> DataFrame:
     Shards are the texts of one anchor. An anchor found in one text makes none; a group of more than SHARD texts
     is split into blocks with a tree each, and all its texts are sent to every block, so that no
     task has more than one block's tree and no group goes to one task. Texts with fewer than GRAM letters are
-    similar to none.
+    similar to none. The folded vectors find candidates without loss; each distinct pair is then checked once on the whole texts.
     """
-    seqs = cut(spread(texts.where(F.length("seq") >= GRAM).select("key", "seq"), "key"))
+    rows = spread(texts.where(F.length("seq") >= GRAM).select("key", "seq"), "key")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 2000):
+                part = b.iloc[i : i + 2000]
+                vectors, sizes = folded_vectors(part.seq.tolist())
+                yield pd.DataFrame({"key": part.key.to_numpy(), "seq": part.seq.to_numpy(), "vector": vectors, "size": sizes})
+
+    seqs = cut(rows.mapInPandas(fold, "key long, seq string, vector binary, size int"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(x, k) for k, s in zip(b.key, b.seq) for x in anchors(s)]
-            yield pd.DataFrame(rows, columns=["anchor", "key"])
+            owner, found = anchors(b.seq.tolist())
+            yield pd.DataFrame({"anchor": found, "key": b.key.to_numpy()[owner]})
 
-    picks = cut(seqs.mapInPandas(sketch, "anchor long, key long"))
+    picks = cut(seqs.select("key", "seq").mapInPandas(sketch, "anchor long, key long"))
     counts = picks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     tagged = picks.join(counts, "anchor")
     common = tagged.where(F.col("n") > COMMON).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "n"))).alias("common"))  # anchors of one text
 
     def need(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(x, k, dict(c)[x]) for k, s, c in zip(b.key, b.seq, b.common) for x in needed_anchors(s, dict(c))]
-            yield pd.DataFrame(rows, columns=["anchor", "key", "n"])
+            found = [(x, k, dict(c)[x]) for k, s, c in zip(b.key, b.seq, b.common) for x in needed_anchors(s, dict(c))]
+            yield pd.DataFrame(found, columns=["anchor", "key", "n"])
 
-    kept = seqs.join(common, "key").mapInPandas(need, "anchor long, key long, n long")
+    # A common anchor covers at most ANCHOR - GRAM + 1 substrings: where that cannot make a quarter, none is needed.
+    doubtful = seqs.join(common, "key").where(F.size("common") * (ANCHOR - GRAM + 1) > F.col("size") * 0.25)
+    kept = doubtful.select("key", "seq", "common").mapInPandas(need, "anchor long, key long, n long")
     posts = tagged.where(F.col("n") <= COMMON).select("anchor", "key", "n").union(kept)
     blocks = F.greatest(F.ceil(F.col("n") / SHARD), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("key", "anchor"), blocks).cast("int")
     # Each text is built into its own block and asks all blocks up to it, so that a pair meets once.
     sent = posts.withColumn("own", own).select("anchor", "key", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"))
-    rows = sent.join(seqs, "key")
+    sent = sent.join(seqs.select("key", "vector", "size"), "key")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         out: set[tuple[int, int]] = set()
-        sets: dict[int, frozenset[str]] = {}
         order = np.lexsort((group.key, group.own, group.block, group.anchor))
         shard, tree = None, BKTree()
-        for anchor, block, own, key, seq in zip(*(group[c].to_numpy()[order].tolist() for c in ("anchor", "block", "own", "key", "seq"))):
+        for anchor, block, own, key, vector, size in zip(*(group[c].to_numpy()[order].tolist() for c in ("anchor", "block", "own", "key", "vector", "size"))):
             if (anchor, block) != shard:
                 shard, tree = (anchor, block), BKTree()
-            ones = sets.get(key)
-            if ones is None:
-                ones = sets[key] = grams(seq)
-            out.update((min(key, k), max(key, k)) for k in tree.within(ones, similarity))
+            bits = int.from_bytes(vector, "big")
+            out.update((min(key, k), max(key, k)) for k in tree.within(bits, size, similarity))
             if own == block:
-                tree.add(key, ones)
+                tree.add(key, bits, size)
         return pd.DataFrame(list(out), columns=["a", "b"])
 
     spark = texts.sparkSession
     buckets = max(spark.sparkContext.defaultParallelism * 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.withColumn("bucket", F.pmod(F.xxhash64("anchor", "block"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long")
-    return found.distinct()
+    near = sent.withColumn("bucket", F.pmod(F.xxhash64("anchor", "block"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.sa, b.sb):
+                p, q = grams(x), grams(y)
+                both = len(p & q)
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield b.loc[keep, ["a", "b"]]
+
+    text = seqs.select("key", "seq")
+    pairs = near.join(text.select(F.col("key").alias("a"), F.col("seq").alias("sa")), "a").join(text.select(F.col("key").alias("b"), F.col("seq").alias("sb")), "b")
+    return pairs.mapInPandas(verify, "a long, b long")
 
 
 def similar_records(df: DataFrame, id_col: str, seq_col: str, map_col: str, similarity: float = 0.6) -> DataFrame:
