@@ -6,7 +6,16 @@ import json
 from typing import Any
 
 _DECODER = json.JSONDecoder()
-BROKEN = object()
+
+
+class _Broken:
+    """One object, also after pickling."""
+
+    def __reduce__(self) -> str:
+        return "BROKEN"
+
+
+BROKEN = _Broken()
 
 
 def loose_json(text: str | None, nested: int = 3) -> Any:

@@ -67,7 +67,6 @@ def test_wide_table(spark):
         (6, "e", "x", "F003", "2", None, "2024-01-01 00:00:00"),
         (7, "e", None, None, "2", "head", None),
     ]
-    df = spark.sql("SELECT " + "1" + " WHERE false")
     df = spark.createDataFrame([(*r, "clash") for r in rows], schema.replace("timestamp", "string")).withColumn("loaded_at", F.to_timestamp("loaded_at"))
     got = {r.id: r for r in wide.wide_table(df, ["F001", "F002", "F009"]).collect()}
     assert tuple(got["x"]) == ("e", "x", 2, 8, 1, 6, "head", None, "head", None, None)
