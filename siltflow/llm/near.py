@@ -64,8 +64,15 @@ def anchors(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         least.append(np.array([own.min() if len(own) else int.from_bytes(blake2b(seqs[n].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)]))
     if not owner:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.stack([np.concatenate(owner), np.concatenate(least)]), axis=1)
-    return both[0], both[1]
+    o, x = np.concatenate(owner), np.concatenate(least)
+    new = np.ones(len(o), bool)  # neighbours mostly share their least hash: drop those before sorting
+    new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
+    o, x = o[new], x[new]
+    order = np.lexsort((x, o))
+    o, x = o[order], x[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
+    return o[new], x[new]
 
 
 def folded_vectors(seqs: list[str]) -> tuple[list[bytes], np.ndarray]:
