@@ -96,6 +96,9 @@ def search(queries: DataFrame, db: DataFrame, seed: int = 28, max_target_seqs: i
     asked = asked.withColumn("least", F.min("n").over(Window.partitionBy("qseqid"))).where((F.col("n") <= common) | (F.col("n") == F.col("least")))
     met = asked.join(index, "k").select("qseqid", "q", "sseqid", "s").distinct()
     longer = F.greatest(F.length("q"), F.length("s"))
-    hit = met.withColumn("pident", F.round(100 * (1 - F.expr("levenshtein(q, s)") / longer), 3)).withColumn("qcovs", F.round(100 * F.least(F.length("q"), F.length("s")) / F.length("q"), 3)).where((F.col("pident") >= perc_identity) & (F.col("qcovs") >= qcov))
+    near = met.withColumn("qcovs", F.round(100 * F.least(F.length("q"), F.length("s")) / F.length("q"), 3)).where(F.col("qcovs") >= qcov)
+    most = int((1 - perc_identity / 100) * (db.agg(F.max(F.length("seq"))).first()[0] or 0) * 100 / qcov) + 1
+    near = near.select("qseqid", "sseqid", "qcovs", longer.alias("longer"), F.explode(F.array(F.expr(f"levenshtein(q, s, {most})"))).alias("edits")).where("edits >= 0")
+    hit = near.withColumn("pident", F.round(100 * (1 - F.col("edits") / F.col("longer")), 3)).where(F.col("pident") >= perc_identity)
     top = Window.partitionBy("qseqid").orderBy(F.desc("pident"), F.desc("qcovs"), "sseqid")
     return hit.withColumn("k", F.row_number().over(top)).where(F.col("k") <= max_target_seqs).select("qseqid", "sseqid", "pident", "qcovs")

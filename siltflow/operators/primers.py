@@ -72,34 +72,54 @@ def split_tags(tag: str | None) -> tuple[str, str]:
     return (t[:at], t[at + 1 :]) if 0 < at < len(t) - 1 else (t, t)
 
 
-def assign(seq: str | None, table: list[dict], most: int, with_tag: bool) -> tuple | None:
+class PrimerTable:
+    """Rows of a primer table, prepared for lookups by the tags found beside the primers."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.pairs = sorted({(r["forward_primer"], r["reverse_primer"]) for r in rows})
+        self.tags: dict[tuple[str, str], dict[tuple[int, int], tuple[dict[tuple[str, str], int], list[int]]]] = {}
+        for n, r in enumerate(rows):
+            ft, rt = r["ftag"], revcomp(r["rtag"])
+            plain, coded = self.tags.setdefault((r["forward_primer"], r["reverse_primer"]), {}).setdefault((len(ft), len(rt)), ({}, []))
+            if set(ft + rt) <= set("ACGT"):
+                plain.setdefault((ft, rt), n)
+            else:
+                coded.append(n)
+
+    def first(self, pair: tuple[str, str], text: str, begin: int, end: int) -> int | None:
+        """First row of this primer pair whose tags stand before ``begin`` and from ``end`` on."""
+        found: list[int] = []
+        for (nf, nr), (plain, coded) in self.tags[pair].items():
+            if begin < nf or end + nr > len(text):
+                continue
+            left, right = text[begin - nf : begin], text[end : end + nr]
+            if (left, right) in plain:
+                found.append(plain[left, right])
+            for n in coded:
+                ft, rt = self.rows[n]["ftag"], revcomp(self.rows[n]["rtag"])
+                if (not ft or sites(left, ft, 0, "pattern")) and (not rt or sites(right, rt, 0, "pattern")):
+                    found.append(n)
+                    break
+        return min(found, default=None)
+
+
+def assign(seq: str | None, table: PrimerTable, most: int) -> tuple | None:
     """(row number, insert, forward mismatches, reverse mismatches) of the first table row that fits a read."""
     if not seq:
         return None
-    turned, hits = revcomp(seq), {}
-    for pair in sorted({(r["forward_primer"], r["reverse_primer"]) for r in table}):
+    turned, best = revcomp(seq), None
+    for pair in table.pairs:
         for text in (seq, turned):
             f = sites(text, pair[0], most, "pattern")
             r = sites(text, revcomp(pair[1]), most, "pattern") if f else []
             if f and r:
-                hits[pair] = (text, f[0][0], r[-1][0], min(w for _, w in f), min(w for _, w in r))
+                a, end = f[0][0] + len(pair[0]), r[-1][0]
+                n = table.first(pair, text, f[0][0], end + len(pair[1])) if a < end else None
+                if n is not None and (best is None or n < best[0]):
+                    best = (n, text[a:end], min(w for _, w in f), min(w for _, w in r))
                 break
-    for n, row in enumerate(table):
-        hit = hits.get((row["forward_primer"], row["reverse_primer"]))
-        if not hit or hit[1] >= hit[2]:
-            continue
-        text, f, r, fw, rw = hit
-        a, end = f + len(row["forward_primer"]), r + len(row["reverse_primer"])
-        if a >= r:
-            continue
-        if with_tag:
-            ft, rt = row["ftag"], revcomp(row["rtag"])
-            if f < len(ft) or end + len(rt) > len(text):
-                continue
-            if (ft and not sites(text[f - len(ft) : f], ft, 0, "pattern")) or (rt and not sites(text[end : end + len(rt)], rt, 0, "pattern")):
-                continue
-        return n, text[a:r], fw, rw
-    return None
+    return best
 
 
 def demultiplex(reads: DataFrame, primer_table: DataFrame, primer_mismatch: int = 3, with_tag: bool = True, most_rows: int = 100_000) -> DataFrame:
@@ -117,10 +137,11 @@ def demultiplex(reads: DataFrame, primer_table: DataFrame, primer_mismatch: int
         table.append({"exp": r["exp"], "sample": r["sample"], "ftag": ft, "rtag": rt, "forward_primer": r["forward_primer"].upper(), "reverse_primer": r["reverse_primer"].upper()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prepared = PrimerTable(table)
         for b in batches:
             out = []
             for rec, ident, seq in zip(b.rec_no, b.id, b.seq):
-                hit = assign(seq, table, primer_mismatch, with_tag)
+                hit = assign(seq, prepared, primer_mismatch)
                 if hit is None:
                     out.append((rec, ident, seq, False, None, None, None, None, None, None, None))
                 else:
