@@ -49,10 +49,6 @@ SQL = {
         UNION ALL SELECT p.tbl, l.parent, p.id, p.steps + 1 FROM pairs p JOIN link l ON l.tbl = p.tbl AND l.id = p.anc WHERE l.parent IS NOT NULL)
       SELECT tbl, anc AS node_key, id AS descendant_key, steps FROM pairs""",
     "p5_found": f"WITH {_CELLS} SELECT * FROM per_entity",
-    "p5_wide": f"""WITH {_CELLS}, long AS (SELECT experiment, id, 'count_' || tag k, CAST(n AS VARCHAR) v FROM cells UNION ALL SELECT experiment, id, 'status_' || tag, status FROM cells)
-      SELECT per.*, w.* EXCLUDE (experiment, id) FROM per_entity per LEFT JOIN (
-        PIVOT (SELECT experiment, id, tag, n, status FROM cells) ON tag USING any_value(n) AS count, any_value(status) AS status GROUP BY experiment, id) w
-      ON w.experiment IS NOT DISTINCT FROM per.experiment AND w.id IS NOT DISTINCT FROM per.id""",
     "p7_totals": f"WITH {_TOTALS} SELECT tbl, exp, sample, n_entries, total_count, max_count FROM tot",
     "p7_found": f"WITH {_TOTALS} SELECT tbl, exp, sample FROM tot QUALIFY n_entries * 100 > 3 * sum(n_entries) OVER (PARTITION BY tbl)",
 }

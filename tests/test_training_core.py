@@ -74,6 +74,15 @@ def test_wide_table(spark):
     assert wide.wide_table(df.limit(0), ["F001"]).count() == 0
 
 
+def test_wide_columns_hold_the_deciding_cells(spark):
+    from siltflow.queries_ref import latest_cells
+
+    wide_rows = q.p5_wide(spark, SF)
+    tags = [c[6:] for c in wide_rows.columns if c.startswith("count_")]
+    got = {(r.experiment, r.id, t, r[f"count_{t}"], r[f"status_{t}"]) for r in wide_rows.collect() for t in tags if r[f"count_{t}"] is not None}
+    assert got == {tuple(r) for r in latest_cells(spark, SF).collect()}
+
+
 def test_loose_json():
     assert loose_json(' "a" : {"b": 1}, "c": [2]') == {"a": {"b": 1}, "c": [2]}
     assert loose_json('{"a": 1} {"x"') == {"a": 1}
