@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltflow.llm.lookalikes import tables, translation
+from siltflow.llm.names import QUALIFIERS
 
 
 def _q(s: str) -> str:
@@ -25,7 +26,30 @@ r AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
 h AS (SELECT w.doc_id, w.i, lead(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) nxt FROM w SEMI JOIN r ON r.s = w.s)
 """
 
+# levenshtein() counts bytes: accented letters are given one-byte stand-ins.
+_BYTES = "translate({}, 'ëïöüéæœáíóúàèñçøåäß', '0123456789ABCDEFGHI')"
+
 SQL = {
+    "p3_found": """
+      WITH n AS (SELECT node_id id, upper(min(seq)) seq, any_value(exp_sample_count) m FROM node WHERE node_id IS NOT NULL GROUP BY 1),
+      g AS (SELECT DISTINCT id, substr(seq, i, 8) g FROM (SELECT id, seq, unnest(range(1, length(seq) - 6)) i FROM n WHERE length(seq) >= 8)),
+      c AS (SELECT id, count(*) c FROM g GROUP BY 1),
+      met AS (SELECT a.id a, b.id b, count(*) k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+      sim AS (SELECT a, b FROM met JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE 10 * k >= 6 * (x.c + y.c - k)),
+      e AS (SELECT id, e.key x, unnest(map_keys(e.value)) s FROM (SELECT id, unnest(map_entries(m)) e FROM n))
+      SELECT DISTINCT a AS node_a, b AS node_b FROM sim JOIN e p ON p.id = a JOIN e q ON q.id = b AND q.x = p.x AND q.s = p.s""",
+    "p4_found": f"""
+      WITH t AS (SELECT taxon_id, lower({_clean("min(scientific_name)")}) n FROM col_taxa WHERE rank = 'species' AND trim(scientific_name) <> '' AND taxon_id IS NOT NULL GROUP BY 1),
+      w AS (SELECT taxon_id, list_filter(regexp_extract_all(n, '\\p{{L}}+'), lambda x: NOT list_contains([{", ".join(map(_q, sorted(QUALIFIERS)))}], x)) w FROM t),
+      k AS (SELECT taxon_id, w[i] a, w[j] b FROM (SELECT taxon_id, w, i, unnest([i + 1, i + 2]) j FROM (SELECT taxon_id, w, unnest(range(1, len(w))) i FROM w)) WHERE j <= len(w) AND length(w[j]) > 1),
+      keys AS (SELECT DISTINCT taxon_id, CASE WHEN length(a) = 1 THEN a ELSE '' END ini, CASE WHEN length(a) = 1 THEN b ELSE a || ' ' || b END key, length(a) + length(b) size FROM k
+        UNION SELECT taxon_id, '', x, length(x) FROM (SELECT taxon_id, unnest(w) x FROM w) WHERE length(x) > 9),
+      r AS (SELECT ref_id, lower(genus) g, lower(epithet) e FROM taxon_reference),
+      alias AS (SELECT ref_id, '' ini, g || ' ' || e p FROM r UNION SELECT ref_id, '', e || ' ' || g FROM r UNION SELECT ref_id, '', g || e FROM r UNION SELECT ref_id, left(g, 1), e FROM r),
+      d AS (SELECT taxon_id, ref_id, min(levenshtein({_BYTES.format("key")}, {_BYTES.format("p")})) d FROM keys JOIN alias ON alias.ini = keys.ini AND abs(length(key) - length(p)) <= 3
+        WHERE levenshtein({_BYTES.format("key")}, {_BYTES.format("p")}) <= CASE WHEN size < 4 THEN 0 WHEN size < 7 THEN 1 WHEN size < 10 THEN 2 ELSE 3 END GROUP BY 1, 2),
+      best AS (SELECT taxon_id, CASE WHEN count(*) = 1 THEN max(ref_id) ELSE -1 END ref_id FROM (SELECT * FROM d QUALIFY d = min(d) OVER (PARTITION BY taxon_id)) GROUP BY 1)
+      SELECT t.taxon_id, coalesce(best.ref_id, -1) AS ref_id FROM t LEFT JOIN best USING (taxon_id)""",
     "p2_found": f"""
       WITH long AS (SELECT taxon_id, 'scientific_name' col_name, scientific_name v FROM col_taxa UNION SELECT taxon_id, 'scientific_name_fuzzy', scientific_name_fuzzy FROM col_taxa)
       SELECT * FROM (SELECT DISTINCT taxon_id, col_name, {_clean("v")} clean_text, v FROM long WHERE v IS NOT NULL AND taxon_id IS NOT NULL)
