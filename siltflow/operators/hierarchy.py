@@ -43,6 +43,7 @@ def _finish(rows: pd.DataFrame) -> pd.DataFrame:
     """Follow the remaining links, of bounded number, inside one task."""
     parent = dict(zip(rows.id, zip(rows.parent, rows.w, rows.via)))
     loops = set(rows.parent[rows.parent_loops])
+    paths = bool(rows.paths.iloc[0])
     known: dict[str, tuple[str, int, list[str]]] = {}
     for start in parent:
         chain, x, on = [], start, set()
@@ -58,7 +59,7 @@ def _finish(rows: pd.DataFrame) -> pd.DataFrame:
             root, depth, path = x, 0, [x]
         for y in reversed(chain):
             if depth >= 0:
-                depth, path = depth + parent[y][1], [*path, *reversed(list(parent[y][2])), y] if rows.paths.iloc[0] else []
+                depth, path = depth + parent[y][1], [*path, *reversed(list(parent[y][2])), y] if paths else []
             known[y] = (root, depth, path)
     return pd.DataFrame([(k, *known[k]) for k in parent], columns=["id", "root", "depth", "path"])
 

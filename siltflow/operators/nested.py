@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from siltflow.functions.loosejson import BROKEN, loose_json
 
 ROOT = ""
+MOST_EDGES = 100_000  # of a schema; more means that data are taken for labels
 ROWS = "rec_id string, relation string, row_id string, parent_relation string, parent_id string, pos long, key string, above array<string>, blocks array<string>, cols map<string,string>"
 
 
@@ -86,7 +87,9 @@ def schema_graph(df: DataFrame, id_col: str, json_col: str, keyed: Mapping[str,
                     seen |= _edges(v, keyed)
         yield pd.DataFrame(sorted(seen), columns=["a", "b", "kind"])
 
-    found = df.select(F.col(json_col).alias("t")).mapInPandas(edges, "a string, b string, kind string").distinct().collect()
+    found = df.select(F.col(json_col).alias("t")).mapInPandas(edges, "a string, b string, kind string").distinct().limit(MOST_EDGES + 1).collect()
+    if len(found) > MOST_EDGES:
+        raise ValueError("labels grow with the data: name the objects whose members are entries in keyed")
     by_label: dict[str, set[str]] = {}
     for a, b, kind in found:
         if kind == "object" and b:

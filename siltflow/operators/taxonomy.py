@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltflow.operators import hierarchy
 
+# The main ranks from the highest down.
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 
 
