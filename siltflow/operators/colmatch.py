@@ -64,10 +64,20 @@ def match(inputs: DataFrame, name_col: str, checklist: DataFrame, ranks: tuple[s
     exact = asked.join(pool, F.col("_norm") == F.col("name_norm")).where(fits).withColumns({"distance": F.lit(0), "match_type": F.lit("exact")})
     found = exact
     if fuzzy:
-        rest = asked.join(exact.select("_ask").distinct(), "_ask", "left_anti").withColumn("_len", F.explode(F.sequence(F.greatest(F.length("_fuzzy") - max_dist, F.lit(1)), F.length("_fuzzy") + max_dist)))
-        near = rest.join(pool, (F.substring("_fuzzy", 1, 1) == F.substring("name_fuzzy", 1, 1)) & (F.col("_len") == F.length("name_fuzzy"))).where(fits)
-        ok = (F.expr(f"levenshtein(_fuzzy, name_fuzzy, {max_dist})") >= 0) | (F.expr(f"levenshtein(_norm, name_norm, {max_dist})") >= 0)
-        found = exact.unionByName(near.where(ok).drop("_len").withColumns({"distance": F.expr("levenshtein(_norm, name_norm)"), "match_type": F.lit("fuzzy")}))
+        # Of max_dist + 1 pieces of a name one survives max_dist edits, at most max_dist letters from its place.
+        d = max_dist
+        begin = lambda no, n: F.floor(F.col(n) * no / (d + 1)).cast("int") + 1
+        no = F.explode(F.sequence(F.lit(0), F.lit(d)))
+        rest = asked.join(exact.select("_ask").distinct(), "_ask", "left_anti").withColumn("_len", F.explode(F.sequence(F.greatest(F.length("_fuzzy") - d, F.lit(1)), F.length("_fuzzy") + d)))
+        rest = rest.withColumn("_no", no).withColumn("_shift", F.explode(F.sequence(F.lit(-d), F.lit(d))))
+        start, size = begin(F.col("_no"), "_len") + F.col("_shift"), begin(F.col("_no") + 1, "_len") - begin(F.col("_no"), "_len")
+        rest = rest.where((start >= 1) & (start + size - 1 <= F.length("_fuzzy"))).withColumn("_piece", F.substring("_fuzzy", start, size)).drop("_shift").distinct()
+        cut = pool.withColumn("_plen", F.length("name_fuzzy")).withColumn("_pno", no)
+        cut = cut.withColumn("_ppiece", F.substring("name_fuzzy", begin(F.col("_pno"), "_plen"), begin(F.col("_pno") + 1, "_plen") - begin(F.col("_pno"), "_plen")))
+        met = (F.substring("_fuzzy", 1, 1) == F.substring("name_fuzzy", 1, 1)) & (F.col("_len") == F.col("_plen")) & (F.col("_no") == F.col("_pno")) & (F.col("_piece") == F.col("_ppiece"))
+        # The fuzzy keys are never farther apart than the plain ones.
+        near = rest.join(cut, met).where(fits & (F.expr(f"levenshtein(_fuzzy, name_fuzzy, {d})") >= 0)).drop("_len", "_no", "_piece", "_plen", "_pno", "_ppiece").dropDuplicates(["_ask", "taxon_id"])
+        found = exact.unionByName(near.withColumns({"distance": F.expr("levenshtein(_norm, name_norm)"), "match_type": F.lit("fuzzy")}))
     accepted = checklist.select(F.col("taxon_id").alias("_aid"), *[F.col(c).alias(f"_a_{c}") for c in ("scientific_name", "authorship", "status", *LINEAGE)])
     link = F.when(F.lower("status").contains("synonym") & (F.trim("parent_id") != ""), F.col("parent_id"))
     full = found.withColumn("_link", link).join(accepted, F.col("_link") == F.col("_aid"), "left")
