@@ -35,10 +35,13 @@ class NameTrie:
     def __init__(self, entries: Iterable[tuple[int, str, str]]):
         self.root: list = [{}, set()]
         self.by_initial: dict[str, list] = {}
+        self.lengths: dict[str, set[int]] = {"joined": set(), "full": set()}
         for ref, genus, epithet in entries:
             if not genus or not epithet:
                 continue
             g, e = genus.lower(), epithet.lower()
+            self.lengths["joined"].add(len(g + e))
+            self.lengths["full"].add(len(g + e) + 1)
             start = self.by_initial.setdefault(g[0], [{}, set()])
             for alias, node, path in (("full", self.root, f"{g} {e}"), ("swapped", self.root, f"{e} {g}"), ("joined", self.root, g + e), ("initial", start, e)):
                 for c in path:
@@ -54,6 +57,10 @@ class NameTrie:
                 return []
         return [(ref, 0, alias) for ref, alias in sorted(node[1])]
 
+    def _fits(self, length: int, alias: str) -> bool:
+        """Whether a path of this kind is at most three letters longer or shorter."""
+        return any(n in self.lengths[alias] for n in range(length - 3, length + 4))
+
     def _begin(self, key: str) -> tuple[list, str]:
         if key[1:2] == " ":
             return self.by_initial.get(key[0], [{}, set()]), key[2:]
@@ -96,15 +103,20 @@ class NameTrie:
 
     def match(self, name: str | None, settle: bool = True) -> list[tuple[int, int, str]]:
         """All entries within the budget of some reading of ``name``, nearest first; with ``settle`` an
-        exact reading is looked for first and, where there is one, its entries are all."""
+        exact reading is looked for first, and nothing farther than what has been found is looked for."""
         if not name:
             return []
         words = [w for w in _WORD.findall(name.lower()) if w not in QUALIFIERS]
         keys = [f"{a} {b}" for i, a in enumerate(words) for b in words[i + 1 : i + 3] if len(b) > 1]
-        keys += [w for w in words if len(w) > 9]
+        keys += [w for w in words if len(w) > 9 and self._fits(len(w), "joined")]
         hits = [h for k in keys for h in self.exact(k)] if settle else []
         if not hits:
-            hits = [h for k in keys for h in self.search(k, budget(len(k.replace(" ", ""))))]
+            least = 3
+            for k in keys:
+                if k[1:2] == " " or " " not in k or self._fits(len(k), "full"):
+                    hits += self.search(k, min(budget(len(k.replace(" ", ""))), least))
+                    if settle and hits:
+                        least = min(d for _, d, _ in hits)
         best: dict[int, tuple[int, str]] = {}
         for ref, d, alias in hits:
             best[ref] = min(best.get(ref, (d, alias)), (d, alias))
