@@ -15,8 +15,8 @@ from siltflow.plans.spread import spread
 
 GRAM = 8
 ANCHOR, RUN = 16, 9  # every common stretch of ANCHOR + RUN - 1 = 24 letters gives both texts the same anchor
-COMMON = 64  # an anchor in more texts than this is common
-SHARD = 256  # texts in a shard's tree
+COMMON = 64  # an anchor in more texts than this is common: its texts are compared block by block, without a tree
+SHARD = 2048  # texts in a block of a common anchor
 BITS = 1024  # of a folded presence vector
 
 
@@ -41,10 +41,6 @@ def _window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _anchor_hashes(seq: str) -> np.ndarray:
-    return _window_hashes(_codes([seq])[0], ANCHOR).view(np.int64)
-
-
 def anchors(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, anchor): least anchor hash of every run of RUN places; a text with fewer places has
     the least of them, one too short for any its own hash."""
@@ -96,32 +92,6 @@ def folded_vectors(seqs: list[str]) -> tuple[list[bytes], np.ndarray]:
     return [x.tobytes() for x in np.packbits(bits, axis=1)], np.bincount(o[new], minlength=len(seqs))
 
 
-def needed_anchors(seq: str, common: dict[int, int]) -> list[int]:
-    """Which common anchors (hash -> number of texts) this text has to keep.
-
-    A similar text holds at least 0.6 of this text's substrings. While no more than a quarter lie
-    in common anchors, each similar text shares a third of them elsewhere, and none is needed;
-    else common anchors are kept, the rarest first, until that holds. So stretches like primers, in
-    a third of all texts, make no shard, but a text that consists of common stretches is still compared.
-    """
-    if not common:
-        return []
-    h = _anchor_hashes(seq)
-    all_grams = grams(seq)
-    inside: dict[int, set[str]] = {}
-    for i, x in enumerate(h.tolist()):
-        if x in common:
-            inside.setdefault(x, set()).update(seq[j : j + GRAM] for j in range(i, i + ANCHOR - GRAM + 1))
-    dropped = sorted(common, key=lambda x: (common[x], x))
-    kept: list[int] = []
-    while dropped:
-        lost = set().union(*(inside.get(x, set()) for x in dropped))
-        if len(lost) <= 0.25 * len(all_grams):
-            break
-        kept.append(dropped.pop(0))
-    return kept
-
-
 class BKTree:
     """Metric tree: a node's children are keyed by their integer distance to it.
 
@@ -165,13 +135,35 @@ class BKTree:
         return found
 
 
+def scan(keys: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of keys whose folded vectors (rows of 64-bit words) allow this similarity: those between side 0 and 1, or
+    all if no text is on side 1. The bound is the one of ``BKTree.within``; sizes too far apart are not compared."""
+    part, found = (1 - similarity) / (1 + similarity), [np.zeros((2, 0), np.int64)]
+    order = np.argsort(sizes, kind="stable")
+    keys, vectors, sizes, side = keys[order], vectors[order], sizes[order], side[order]
+    first = np.nonzero(side == 0)[0]
+    second = np.nonzero(side == 1)[0] if side.any() else first
+    for i in range(0, len(first), 64):
+        x = first[i : i + 64]
+        low = i if second is first else np.searchsorted(sizes[second], sizes[x[0]] * similarity - 1e-9)
+        y = second[low : np.searchsorted(sizes[second], sizes[x[-1]] / similarity + 1e-9, side="right")]
+        d = np.zeros((len(x), len(y)), np.uint16)
+        for w in range(vectors.shape[1]):
+            d += np.bitwise_count(vectors[x, w][:, None] ^ vectors[y, w][None, :])
+        p, q = np.nonzero(d <= (sizes[x][:, None] + sizes[y][None, :]) * part + 1e-9)
+        pair = np.sort(np.stack([keys[x[p]], keys[y[q]]]), axis=0)
+        found.append(pair[:, pair[0] < pair[1]])
+    return tuple(np.concatenate(found, axis=1))
+
+
 def similar_classes(texts: DataFrame, similarity: float = 0.6) -> DataFrame:
     """(a, b), a < b: pairs of keys of distinct texts of at least ``similarity``; ``texts`` has key (long) and seq.
 
-    Shards are the texts of one anchor. An anchor found in one text makes none; a group of more than SHARD texts
-    is split into blocks with a tree each, and all its texts are sent to every block, so that no
-    task has more than one block's tree and no group goes to one task. Texts with fewer than GRAM letters are
-    similar to none. The folded vectors find candidates without loss; each distinct pair is then checked once on the whole texts.
+    Shards are the texts of one anchor, and every anchor found in two texts or more makes one: a text that dropped a common
+    anchor would lose each text with which it shares no other. A group of more than COMMON texts is split
+    into blocks of SHARD and each pair of blocks is compared whole, so that no task has more than two blocks and no
+    group goes to one task; a smaller one has a tree. Texts with fewer than GRAM letters are similar to none.
+    The folded vectors find candidates without loss; each distinct pair is then checked once on the whole texts.
     """
     rows = spread(texts.where(F.length("seq") >= GRAM).select("key", "seq"), "key")
 
@@ -191,40 +183,35 @@ def similar_classes(texts: DataFrame, similarity: float = 0.6) -> DataFrame:
 
     picks = cut(seqs.select("key", "seq").mapInPandas(sketch, "anchor long, key long"))
     counts = picks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    tagged = picks.join(counts, "anchor")
-    common = tagged.where(F.col("n") > COMMON).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "n"))).alias("common"))  # anchors of one text
-
-    def need(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(x, k, dict(c)[x]) for k, s, c in zip(b.key, b.seq, b.common) for x in needed_anchors(s, dict(c))]
-            yield pd.DataFrame(found, columns=["anchor", "key", "n"])
-
-    # A common anchor covers at most ANCHOR - GRAM + 1 substrings: where that cannot make a quarter, none is needed.
-    doubtful = seqs.join(common, "key").where(F.size("common") * (ANCHOR - GRAM + 1) > F.col("size") * 0.25)
-    kept = doubtful.select("key", "seq", "common").mapInPandas(need, "anchor long, key long, n long")
-    posts = tagged.where(F.col("n") <= COMMON).select("anchor", "key", "n").union(kept)
-    blocks = F.greatest(F.ceil(F.col("n") / SHARD), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("key", "anchor"), blocks).cast("int")
-    # Each text is built into its own block and asks all blocks up to it, so that a pair meets once.
-    sent = posts.withColumn("own", own).select("anchor", "key", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"))
+    posts = picks.join(counts, "anchor")
+    blocks = F.when(F.col("n") > COMMON, F.ceil(F.col("n") / SHARD)).otherwise(1).cast("int")
+    posts = posts.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "anchor"), F.col("blocks")).cast("int"))
+    # Each text goes to the pairs of its own block with every block, so that a pair of texts meets once.
+    sent = posts.select("anchor", "key", "own", (F.col("n") > COMMON).alias("common"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("anchor", "key", "common", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     sent = sent.join(seqs.select("key", "vector", "size"), "key")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         out: set[tuple[int, int]] = set()
-        order = np.lexsort((group.key, group.own, group.block, group.anchor))
+        few = group[~group.common]
+        order = np.lexsort((few.key, few.anchor))
         shard, tree = None, BKTree()
-        for anchor, block, own, key, vector, size in zip(*(group[c].to_numpy()[order].tolist() for c in ("anchor", "block", "own", "key", "vector", "size"))):
-            if (anchor, block) != shard:
-                shard, tree = (anchor, block), BKTree()
+        for anchor, key, vector, size in zip(*(few[c].to_numpy()[order].tolist() for c in ("anchor", "key", "vector", "size"))):
+            if anchor != shard:
+                shard, tree = anchor, BKTree()
             bits = int.from_bytes(vector, "big")
             out.update((min(key, k), max(key, k)) for k in tree.within(bits, size, similarity))
-            if own == block:
-                tree.add(key, bits, size)
-        return pd.DataFrame(list(out), columns=["a", "b"])
+            tree.add(key, bits, size)
+        found = [pd.DataFrame(list(out), columns=["a", "b"])]
+        for _, g in group[group.common].groupby(["anchor", "low", "high"]):
+            vectors = np.frombuffer(b"".join(g.vector), np.uint64).reshape(len(g), BITS // 64)
+            a, b = scan(g.key.to_numpy(), vectors, g["size"].to_numpy().astype(np.int64), g.side.to_numpy(), similarity)
+            found.append(pd.DataFrame({"a": a, "b": b}))
+        return pd.concat(found).drop_duplicates()
 
     spark = texts.sparkSession
     buckets = max(spark.sparkContext.defaultParallelism * 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    near = sent.withColumn("bucket", F.pmod(F.xxhash64("anchor", "block"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
+    near = sent.withColumn("bucket", F.pmod(F.xxhash64("anchor", "low", "high"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -56,6 +56,30 @@ def test_similar_records_against_brute_force(spark, monkeypatch, common, shard):
     assert near.similar_records(df.limit(0), "id", "seq", "m").count() == 0
 
 
+def test_no_similar_text_of_a_rearranged_family_is_lost(spark):
+    rng = random.Random(0)
+    base, seqs = "".join(rng.choice("ACGT") for _ in range(70)), set()
+    while len(seqs) < 360:
+        s = base
+        for _ in range(rng.randrange(3)):
+            i, j = sorted(rng.sample(range(len(s) + 1), 2))
+            rest = s[:i] + s[j:]
+            at = rng.randrange(len(rest) + 1)
+            s = rest[:at] + s[i:j] + rest[at:]
+        if rng.random() < 0.5:
+            i = rng.randrange(len(s))
+            s = s[:i] + rng.choice("ACGT") + s[i + 1 :]
+        seqs.add(s)
+    seqs = sorted(seqs)
+    owner, found = near.anchors(seqs)
+    kept = [set(found[owner == i].tolist()) for i in range(len(seqs))]
+    g = [near.grams(s) for s in seqs]
+    want = {(a, b) for a in range(len(seqs)) for b in range(a + 1, len(seqs)) if kept[a] & kept[b] and 10 * len(g[a] & g[b]) >= 6 * len(g[a] | g[b])}
+    df = spark.createDataFrame(list(enumerate(seqs)), "key long, seq string")
+    got = {tuple(r) for r in near.similar_classes(df).collect()}
+    assert got == want and max(Counter(found.tolist()).values()) > near.COMMON
+
+
 def test_similar_records_on_the_table(spark):
     rows = [(r.node_id, r.seq, r.exp_sample_count) for r in spark.read.parquet(f"{SF}/node.parquet").collect()]
     assert {tuple(r) for r in registry.p3_found(spark, SF).collect()} == brute_pairs(rows)
