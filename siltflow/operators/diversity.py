@@ -9,15 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+_EXACT = np.array([math.lgamma(i + 1) for i in range(32)])
 
 
-def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    ok = (k >= 0) & (k <= n)
-    out = np.full(np.broadcast(n, k).shape, -np.inf)
-    n, k = np.broadcast_arrays(np.asarray(n, float), np.asarray(k, float))
-    out[ok] = (_lgamma(n[ok] + 1) - _lgamma(k[ok] + 1) - _lgamma(n[ok] - k[ok] + 1)).astype(float)
-    return out
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """Log of k! by Stirling's series, from a table below 32."""
+    z = np.maximum(k, 31) + 1.0
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(k < 32, _EXACT[np.minimum(k, 31)], series)
 
 
 class Abundances:
@@ -28,6 +27,7 @@ class Abundances:
         self.n = int((self.x * self.f).sum())
         self.f1 = float(self.f[self.x == 1].sum())
         self.f2 = float(self.f[self.x == 2].sum())
+        self._limits: tuple[float, float] | None = None
         n, f1, f2 = self.n, self.f1, self.f2
         self.f0 = (n - 1) / n * (f1 * f1 / (2 * f2) if f2 > 0 else f1 * (f1 - 1) / 2)
         if f2 > 0:
@@ -48,10 +48,17 @@ class Abundances:
             return float(1 - (self.f * self.x / n * self._missed(n - 1, self.x - 1, m)).sum())
         return 1 - self.f1 / n * self.a ** (m - n + 1)
 
-    def _occupied(self, m: int) -> np.ndarray:
-        """Expected number of taxa with 1..m reads in a sample of m."""
-        k = np.arange(1, m + 1)[:, None]
-        return (np.exp(_log_choose(self.x[None, :], k) + _log_choose(self.n - self.x[None, :], m - k) - _log_choose(np.array(float(self.n)), np.array(float(m)))) * self.f).sum(axis=1)
+    def _drawn_entropy(self, m: int) -> float:
+        """Expected Shannon entropy of a sample of m: a taxon of x reads has k of them in it by the hypergeometric
+        distribution. Each distinct count is taken over its own possible k, together no more than the reads."""
+        total = 0.0
+        for x, f in zip(self.x.astype(np.int64).tolist(), self.f.tolist()):
+            k = np.arange(max(0, m - (self.n - x)), min(x, m) + 1)
+            log_p = -_log_factorial(k) - _log_factorial(x - k) - _log_factorial(m - k) - _log_factorial(self.n - x - m + k)
+            p = np.exp(log_p - log_p.max())
+            share = np.maximum(k, 1) / m  # k = 0 adds nothing
+            total -= f * float((p * (k / m) * np.log(share)).sum() / p.sum())
+        return total
 
     def entropy(self) -> float:
         """Asymptotic estimate of Shannon entropy."""
@@ -62,9 +69,19 @@ class Abundances:
         t = 1 - (2 * self.f2 / ((self.n - 1) * self.f1 + 2 * self.f2) if self.f2 else 2 / ((self.n - 1) * (self.f1 - 1) + 2) if self.f1 > 1 else 1.0)
         if t <= 0:
             return first
-        r = np.arange(1, self.n)
-        rest = -math.log(1 - t) - float((t**r / r).sum())
-        return first + (self.f1 / self.n * t ** (1 - self.n) * rest if rest > 1e-12 else 0.0)
+        # The unseen part is f1 / n times t^(1 - n) times the sum of t^r / r from n on. Where t^n is small, the difference
+        # that gives this sum has no digits left, and it is added up with the power drawn in.
+        if self.n * (1 - t) < 5:
+            r = np.arange(1, self.n)
+            rest = -math.log(1 - t) - float((t**r / r).sum())
+            return first + self.f1 / self.n * t ** (1 - self.n) * max(rest, 0.0)
+        rest, at, step = 0.0, 0, 1 << 16
+        while True:
+            r = np.arange(at, at + step)
+            rest += float((np.exp((r + 1) * math.log(t)) / (self.n + r)).sum())
+            at += step
+            if math.exp((at + 1) * math.log(t)) / ((self.n + at) * (1 - t)) < 1e-15 * rest:
+                return first + self.f1 / self.n * rest
 
     def diversity(self, m: int, q: int) -> float:
         n = self.n
@@ -77,13 +94,14 @@ class Abundances:
             pair = float((self.f * self.x * (self.x - 1)).sum()) / (n * (n - 1)) if n > 1 else 0.0
             return 1 / (1 / m + (m - 1) / m * pair)
         if q == 1:
-            exact = lambda s: math.exp(-(self._occupied(s) * (np.arange(1, s + 1) / s) * np.log(np.arange(1, s + 1) / s)).sum())
             seen = math.exp(-(self.f * self.x / n * np.log(self.x / n)).sum())
             if m < n:
-                return exact(m)
+                return math.exp(self._drawn_entropy(m))
             if m == n or n < 2:
                 return seen
-            goal, before = math.exp(self.entropy()), exact(n - 1)
+            if self._limits is None:
+                self._limits = math.exp(self.entropy()), math.exp(self._drawn_entropy(n - 1))
+            goal, before = self._limits
             if goal <= before:
                 return seen
             step = (seen - before) / (goal - before)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -175,6 +176,27 @@ def test_hill_numbers():
     assert a.coverage(a.n) == pytest.approx(1 - 3 / a.n * a.a)
 
 
+def test_rarefaction_reaches_the_observed_size(spark):
+    from siltflow import queries_ref
+
+    d = "/root/testdata/sf0.001"
+    size = {r.tag: r.n for r in queries_ref.latest_cells(spark, d).where("cnt > 0").groupBy("tag").agg(F.sum("cnt").alias("n")).collect()}
+    assert max(size.values()) > 500
+    for name in ("rarefaction_q0_whole", "rarefaction_q1", "rarefaction_q2_whole"):
+        rows = queries_ref.QUERIES[name](spark, d).collect()
+        assert {r.tag: r.m for r in rows if r.method == "Observed"} == {t: n for t, n in size.items() if n <= 150_000}
+        assert {t: max(r.m for r in rows if r.tag == t) for t in size} == {t: 150_000 for t in size}
+
+
+def test_drawn_entropy():
+    a = diversity.Abundances(np.array([1, 2, 5, 40]), np.array([3, 2, 1, 1]))
+    for m in (1, 7, 30, a.n - 1):
+        f = [sum(g * math.comb(x, k) * math.comb(a.n - x, m - k) for x, g in ((1, 3), (2, 2), (5, 1), (40, 1))) / math.comb(a.n, m) for k in range(1, m + 1)]
+        assert a.diversity(m, 1) == pytest.approx(math.exp(-sum(p * k / m * math.log(k / m) for k, p in enumerate(f, 1))))
+    few, many = (diversity.Abundances(np.array([1, 2, 5000]), np.array([g, 300, 1])) for g in (100, 30))
+    assert few.entropy() > 0 and many.entropy() > 0
+
+
 def lev(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
