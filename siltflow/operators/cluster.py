@@ -83,20 +83,20 @@ def chimeras(seqs: DataFrame, fold: float = 2.0, min_part: int = 24) -> DataFram
     return both.select("seq", "size", F.col("left.parent").alias("left"), F.col("right.parent").alias("right"), chimeric.alias("chimeric"))
 
 
-def search(queries: DataFrame, db: DataFrame, seed: int = 28, max_target_seqs: int = 10, perc_identity: float = 90.0, qcov: float = 90.0, common: int = 1000) -> DataFrame:
+def search(queries: DataFrame, db: DataFrame, seed: int = 28, max_target_seqs: int = 10, perc_identity: float = 90.0, qcov: float = 90.0) -> DataFrame:
     """(qseqid, sseqid, pident, qcovs): seed-and-verify search, approximate next to gapped local alignment.
 
     A hit shares an exact seed; identity is 100 * (1 - edits / longer length), coverage the shorter over the query's length.
-    Seeds in more than ``common`` entries are not followed unless the query has no others. Both frames have id and seq.
+    Every seed is followed, however many entries hold it: numbers and lengths alone are joined, so that Spark can split a hot
+    partition, and sequences are fetched once for each pair. Both frames have id and seq.
     """
-    mers = lambda df: df.where(F.length("seq") >= seed).select("id", "seq", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - seed + 1), lambda i: F.xxhash64(F.substring("seq", i, F.lit(seed)))))).alias("k"))
-    index = mers(db).select(F.col("id").alias("sseqid"), F.col("seq").alias("s"), "k")
-    often = index.groupBy("k").agg(F.count("*").alias("n"))
-    asked = mers(queries).select(F.col("id").alias("qseqid"), F.col("seq").alias("q"), "k").join(often, "k")
-    asked = asked.withColumn("least", F.min("n").over(Window.partitionBy("qseqid"))).where((F.col("n") <= common) | (F.col("n") == F.col("least")))
-    met = asked.join(index, "k").select("qseqid", "q", "sseqid", "s").distinct()
-    longer = F.greatest(F.length("q"), F.length("s"))
-    near = met.withColumn("qcovs", F.round(100 * F.least(F.length("q"), F.length("s")) / F.length("q"), 3)).where(F.col("qcovs") >= qcov)
+    mers = lambda df, name, size: df.where(F.length("seq") >= seed).select(F.col("id").alias(name), F.length("seq").alias(size), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - seed + 1), lambda i: F.xxhash64(F.substring("seq", i, F.lit(seed)))))).alias("k"))
+    longer = F.greatest("ql", "sl")
+    met = mers(queries, "qseqid", "ql").join(mers(db, "sseqid", "sl"), "k").withColumn("qcovs", F.round(100 * F.least("ql", "sl") / F.col("ql"), 3)).where(F.col("qcovs") >= qcov)
+    met = met.where(F.round(100 * (1 - F.abs(F.col("ql") - F.col("sl")) / longer), 3) >= perc_identity)  # the difference of the lengths is the least number of edits
+    near = met.select("qseqid", "sseqid", "ql", "sl", "qcovs").distinct()
+    near = near.join(queries.select(F.col("id").alias("qseqid"), F.col("seq").alias("q")), "qseqid").join(db.select(F.col("id").alias("sseqid"), F.col("seq").alias("s")), "sseqid")
+    near = near.where((F.length("q") == F.col("ql")) & (F.length("s") == F.col("sl")))
     most = int((1 - perc_identity / 100) * (db.agg(F.max(F.length("seq"))).first()[0] or 0) * 100 / qcov) + 1
     near = near.select("qseqid", "sseqid", "qcovs", longer.alias("longer"), F.explode(F.array(F.expr(f"levenshtein(q, s, {most})"))).alias("edits")).where("edits >= 0")
     hit = near.withColumn("pident", F.round(100 * (1 - F.col("edits") / F.col("longer")), 3)).where(F.col("pident") >= perc_identity)

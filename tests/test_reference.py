@@ -242,6 +242,22 @@ def test_chimera_and_search(spark):
     assert [(r.qseqid, r.sseqid) for r in cluster.search(q, db).collect()] == [("q", "a")]
 
 
+def test_search_follows_the_seeds_of_a_large_family(spark):
+    rng = random.Random(9)
+    base, family = "".join(rng.choice("ACGT") for _ in range(60)), {}
+    while len(family) < 5000:
+        s = list(base)
+        for i in rng.sample([*range(30), *range(31, 60)], rng.randrange(1, 3)):
+            s[i] = rng.choice("ACGT")
+        family.setdefault("".join(s), f"s{len(family):04}")
+    q = base[:30] + ("A" if base[30] != "A" else "C") + base[31:]
+    mers = lambda t: {t[i : i + 28] for i in range(33)}
+    hits = sorted((-round(100 * (1 - lev(q, s) / 60), 3), k) for s, k in family.items() if mers(s) & mers(q))
+    db = spark.createDataFrame([(k, s) for s, k in family.items()], "id string, seq string")
+    found = cluster.search(spark.createDataFrame([("q", q)], "id string, seq string"), db)
+    assert {(-r.pident, r.sseqid) for r in found.collect()} == set(hits[:10])
+
+
 def test_files(spark, tmp_path):
     fq = tmp_path / "a.fastq"
     fq.write_text("@r1\nACGT\n+\nIIII\n@r2\nGG\n+\nII\n@half\nAC\n")
