@@ -15,21 +15,25 @@ def similar_pairs(seqs: DataFrame, identity: float = 0.97, max_edits: int | None
 
     Of a text cut into d + 1 pieces one survives d edits in place, give or take d letters: pieces of the shorter text are
     joined by equality with the substrings of the longer one that can hold them, then verified.
-    ``seqs`` has seq, unique. The longest text fixes the number of pieces unless ``max_edits`` does.
+    ``seqs`` has seq, unique. The length of the longer text of a pair fixes its d, which ``max_edits`` may lower.
     """
-    longest = seqs.agg(F.max(F.length("seq"))).first()[0] or 0
-    d = max_edits if max_edits is not None else math.floor((1 - identity) * longest + 1e-9)
-    own = seqs.where(F.length("seq") > d).select("seq", F.length("seq").alias("len"))
-    limit = lambda n: F.floor(F.lit(1 - identity) * n + 1e-9)
-    begin = lambda i, n: F.floor(F.col(n) * i / (d + 1)) + 1
-    no = F.explode(F.sequence(F.lit(0), F.lit(d)))
-    pieces = own.withColumn("no", no).select(F.col("seq").alias("a"), F.col("len").alias("la"), "no", F.substring("seq", begin(F.col("no"), "len").cast("int"), (begin(F.col("no") + 1, "len") - begin(F.col("no"), "len")).cast("int")).alias("piece"))
-    other = own.withColumn("la", F.explode(F.sequence(F.greatest(F.col("len") - d, F.lit(d + 1)), F.col("len")))).withColumn("no", no)
-    start, size = begin(F.col("no"), "la"), begin(F.col("no") + 1, "la") - begin(F.col("no"), "la")
-    other = other.withColumn("shift", F.explode(F.sequence(F.lit(-d), F.lit(d)))).where((start + F.col("shift") >= 1) & (start + F.col("shift") + size - 1 <= F.col("len")))
-    other = other.select(F.col("seq").alias("b"), F.col("len").alias("lb"), "la", "no", F.substring("seq", (start + F.col("shift")).cast("int"), size.cast("int")).alias("piece")).distinct()
-    met = pieces.join(other, ["la", "no", "piece"]).where((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))).select("a", "b", "lb").distinct()
-    return met.withColumn("edits", F.expr(f"levenshtein(a, b, {d})")).where((F.col("edits") >= 0) & (F.col("edits") <= limit(F.col("lb")))).select("a", "b", "edits")
+    own = seqs.where(F.length("seq") > 0).select("seq", F.length("seq").alias("len"))
+    limit = lambda n: F.floor(F.lit(1 - identity) * n + 1e-9).cast("int")
+    d = limit(F.col("lb")) if max_edits is None else F.least(limit(F.col("lb")), F.lit(max_edits))
+    lens = own.select("len").distinct()
+    # Lengths that are there, each with those it can be the shorter one of.
+    meet = cut(lens.select(F.col("len").alias("la")).join(lens.select(F.col("len").alias("lb")).withColumn("d", d), (F.col("la") <= F.col("lb")) & (F.col("la") >= F.col("lb") - F.col("d"))))
+    begin = lambda i: F.floor(F.col("la") * i / (F.col("d") + 1)).cast("int") + 1
+    no = F.explode(F.sequence(F.lit(0), F.col("d")))
+    start, size = begin(F.col("no")), begin(F.col("no") + 1) - begin(F.col("no"))
+    pieces = own.withColumnRenamed("len", "la").join(meet.select("la", "d").distinct(), "la").withColumn("no", no).select(F.col("seq").alias("a"), "la", "d", F.xxhash64("d", "la", "no", F.substring("seq", start, size)).alias("piece"))
+    other = own.withColumnRenamed("len", "lb").join(meet, "lb").withColumn("no", no)
+    other = other.withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d")))).where((start + F.col("shift") >= 1) & (start + F.col("shift") + size - 1 <= F.col("lb")))
+    # Hashes stand for pieces and longer texts: equal ones only make more candidates, which are verified.
+    other = other.select(F.xxhash64("seq").alias("hb"), F.xxhash64("d", "la", "no", F.substring("seq", start + F.col("shift"), size)).alias("piece")).distinct()
+    met = pieces.join(other, "piece").select("a", "la", "d", "hb").distinct()
+    met = met.join(own.select(F.col("seq").alias("b"), F.col("len").alias("lb"), F.xxhash64("seq").alias("hb")), "hb").where((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))).where(F.col("d") == d)
+    return met.withColumn("edits", F.expr("levenshtein(a, b, d)")).where("edits >= 0").select("a", "b", "edits")
 
 
 def greedy_clusters(seqs: DataFrame, identity: float = 0.97, order: str = "length") -> DataFrame:

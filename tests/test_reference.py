@@ -232,6 +232,17 @@ def test_clusters_against_sequential(spark):
     assert {r.seq: r.centroid for r in cluster.greedy_clusters(df, 0.9).collect()} == want
 
 
+def test_one_long_text_hides_no_pair(spark):
+    rng = random.Random(4)
+    base, long = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (90, 6000))
+    near, gap = base[:40] + ("A" if base[40] != "A" else "C") + base[41:], base[:20] + base[21:]
+    df = spark.createDataFrame([(base,), (near,), (gap,), (long,), (long[:5990],)], "seq string")
+    want = {(a, b, lev(a, b)) for a in (base, near, gap) for b in (base, near, gap) if (len(a), a) < (len(b), b) and lev(a, b) <= 2} | {(long[:5990], long, 10)}
+    assert len(want) == 4 and {tuple(r) for r in cluster.similar_pairs(df).collect()} == want
+    few = df.where("length(seq) < 100")
+    assert {tuple(r) for r in cluster.similar_pairs(few, max_edits=1).collect()} == {w for w in want if w[2] < 2}
+
+
 def test_chimera_and_search(spark):
     rng = random.Random(3)
     a, b, c = ("".join(rng.choice("ACGT") for _ in range(100)) for _ in range(3))
