@@ -3,21 +3,19 @@
 A round removes every leaf (rake) and splices out an independent set of unary chain nodes
 (compress); each removal is recorded as (id, parent, steps, ids between). The rounds are then
 taken back in reverse: a removed node gets root, depth and path from its recorded parent, which
-was removed later or never. A loop has no leaves, so raking strips what hangs on it and splicing
-shrinks it to a node that is its own parent: that is how it is found.
-The number of rounds is logarithmic in the number of nodes whatever the depth of the trees.
+was removed later or is a root. A loop has no leaves, so raking strips what hangs on it and splicing
+shrinks it to a node that is its own parent and has no other child: that is how it is found.
+The number of rounds is logarithmic in the number of nodes whatever the depth of the trees, and as the
+links left shrink by a constant factor a round, all rounds together move a multiple of the input.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from siltflow.plans.lineage import cut
-
-#: Links that are left are finished in one task once an exact count says they are at most this many.
-RESIDUE = 50_000
+from siltflow.plans.lineage import Stored, read_all, store
+from siltflow.plans.skew import hot_values, salted_lookup
 
 
 def links(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -39,93 +37,72 @@ def links(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     return one.select("id").join(kept, "id", "left")
 
 
-def _finish(rows: pd.DataFrame) -> pd.DataFrame:
-    """Follow the remaining links, of bounded number, inside one task."""
-    parent = dict(zip(rows.id, zip(rows.parent, rows.w, rows.via)))
-    loops = set(rows.parent[rows.parent_loops])
-    paths = bool(rows.paths.iloc[0])
-    known: dict[str, tuple[str, int, list[str]]] = {}
-    for start in parent:
-        chain, x, on = [], start, set()
-        while x not in known and x in parent and x not in on:
-            on.add(x)
-            chain.append(x)
-            x = parent[x][0]
-        if x in known:
-            root, depth, path = known[x]
-        elif x in on or x in loops:
-            root, depth, path = "", -1, []
-        else:
-            root, depth, path = x, 0, [x]
-        for y in reversed(chain):
-            if depth >= 0:
-                depth, path = depth + parent[y][1], [*path, *reversed(list(parent[y][2])), y] if paths else []
-            known[y] = (root, depth, path)
-    return pd.DataFrame([(k, *known[k]) for k in parent], columns=["id", "root", "depth", "path"])
-
-
-def resolve(link: DataFrame, paths: bool = False, residue: int = RESIDUE) -> DataFrame:
+def _contract(alive: DataFrame, number: int, paths: bool) -> DataFrame:
+    """One round: all links with what becomes of them (kind), those spliced around already joined up.
+
+    Everything is keyed by the node itself: a node learns of its children by one partial aggregation, and a spliced node hands
+    its parent on to its only child, whose id it knows. No join is by parent, so a node with very many children is no hot key.
+    """
+    rank = lambda c: F.xxhash64(F.col(c), F.lit(number))
+    below = alive.groupBy(F.col("parent").alias("at")).agg(F.count("*").alias("n"), F.max("id").alias("child"))
+    single = (F.col("n") == 1) & (F.col("top") | (rank("id") > rank("parent"))) & ((rank("id") > rank("child")) | (F.col("child") == F.col("parent")))
+    kind = F.when(F.col("n").isNull(), "leaf").when(F.col("parent") == F.col("id"), F.when(F.col("n") == 1, "loop").otherwise("stays")).when(single, "splice").otherwise("stays")
+    state = alive.join(below, F.col("id") == F.col("at"), "left").withColumn("kind", kind).drop("at", "n")
+    # No two neighbours are spliced in one round, so a spliced node's child and parent stay or are raked.
+    out = state.where("kind = 'splice'").select(F.col("child").alias("heir"), F.col("parent").alias("up"), F.col("top").alias("up_top"), F.col("w").alias("mid_w"), F.col("id").alias("mid"), F.col("via").alias("mid_via"))
+    longer = F.when(F.col("heir").isNotNull(), F.concat("via", F.array("mid"), "mid_via")).otherwise(F.col("via"))
+    return state.join(out, F.col("id") == F.col("heir"), "left").select(
+        "id", F.coalesce("up", "parent").alias("parent"), F.coalesce("up_top", "top").alias("top"), (F.col("w") + F.coalesce("mid_w", F.lit(0))).alias("w"), (longer if paths else F.col("via")).alias("via"), "kind"
+    )
+
+
+def _restore(removed: DataFrame, done: list[Stored], lookups: bool, hot: list, paths: bool) -> DataFrame:
+    """Root, depth and path of what one round removed. Only nodes below another removed node are joined, with what later rounds removed."""
+    none = F.array().cast("array<string>")
+    path = lambda start: F.concat(start, F.reverse("via"), F.array("id")) if paths else none
+    loop = F.col("kind") == "loop"
+    out = removed.where("top or kind = 'loop'").select(
+        "id", F.when(loop, "").otherwise(F.col("parent")).alias("root"), F.when(loop, F.lit(-1)).otherwise(F.col("w")).cast("long").alias("depth"), F.when(loop, none).otherwise(path(F.array("parent"))).alias("path")
+    )
+    if not lookups:
+        return out
+    up = read_all(done).select(F.col("id").alias("up"), "root", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+    ok = F.col("up_depth") >= 0
+    below = salted_lookup(removed.where("not top and kind <> 'loop'"), "parent", up, "up", hot)
+    return out.union(below.select("id", "root", F.when(ok, F.col("up_depth") + F.col("w")).otherwise(F.lit(-1)).alias("depth"), F.when(ok, path(F.col("up_path"))).otherwise(none).alias("path")))
+
+
+def resolve(link: DataFrame, paths: bool = False) -> DataFrame:
     """(id, root, depth, path) for every row of ``links``.
 
     Roots have depth 0 and are their own root. Nodes on a loop, or leading into one, have root
     '' and depth -1. ``path`` runs from the root to the node; it is empty for nodes without root and unless ``paths`` is set.
     Empty input gives an empty result. Names of other columns do not matter, ``links`` having
-    only two.
+    only two. Contraction goes on to the last link at every size. A node's children never grow in number by it, so the parents
+    that have more than 1 % of all links, at most 100, are looked up once.
     """
     none = F.array().cast("array<string>")
-    link = cut(link)
+    link = store(link).df
+    child = link.where(F.col("parent").isNotNull())
+    hot = hot_values(child, "parent")
+    inner = salted_lookup(child.select("id", "parent"), "parent", child.select(F.col("id").alias("up")), "up", hot, "left")
+    alive = inner.select("id", "parent", F.col("up").isNull().alias("top"), F.lit(1).cast("long").alias("w"), none.alias("via"))
+    rounds: list[tuple[Stored, bool]] = []
+    left = 1
+    while left:
+        seen = Observation()
+        is_kind = lambda *k: F.col("kind").isin(*k)
+        counted = _contract(alive, len(rounds), paths).observe(seen, F.count_if(is_kind("stays")).alias("left"), F.count_if(is_kind("leaf", "splice") & ~F.col("top")).alias("lookups"))
+        table = store(counted)
+        left, lookups = seen.get["left"], seen.get["lookups"]
+        rounds.append((table, lookups > 0))
+        alive = table.df.where("kind = 'stays'").drop("kind")
+    done: list[Stored] = []
+    for table, lookups in reversed(rounds):
+        done.append(store(_restore(table.df.where("kind <> 'stays'"), done, lookups, hot, paths)))
+        table.drop()
     roots = link.where(F.col("parent").isNull()).select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), (F.array("id") if paths else none).alias("path"))
-    alive = link.where(F.col("parent").isNotNull()).select("id", "parent", F.lit(1).cast("long").alias("w"), none.alias("via"))
-    rounds: list[DataFrame] = []
-    loops = None
-    left = alive.count()
-    while left > residue:
-        r = len(rounds)
-        h = lambda c: F.xxhash64(F.col(c), F.lit(r))  # noqa: B023, E731
-        below = alive.groupBy(F.col("parent").alias("at")).agg(F.count("*").alias("n"), F.max("id").alias("child"))
-        state = alive.join(below, F.col("id") == F.col("at"), "left").withColumn(
-            "kind",
-            F.when(F.col("parent") == F.col("id"), "loop")
-            .when(F.col("n").isNull(), "leaf")
-            .when((F.col("n") == 1) & (h("id") > h("parent")) & ((h("id") > h("child")) | (F.col("child") == F.col("parent"))), "splice")
-            .otherwise("stays"),
-        ).select("id", "parent", "w", "via", "kind")
-        out = state.where("kind = 'splice'").select(F.col("id").alias("mid"), F.col("parent").alias("up"), F.col("w").alias("mid_w"), F.col("via").alias("mid_via"))
-        # A spliced node's own parent stays, as no two neighbours are ever spliced in one round.
-        state = cut(
-            state.join(out, (F.col("parent") == F.col("mid")) & (F.col("kind") != "splice"), "left").select(
-                "id",
-                F.coalesce("up", "parent").alias("parent"),
-                (F.col("w") + F.coalesce("mid_w", F.lit(0))).alias("w"),
-                (F.when(F.col("mid").isNotNull(), F.concat("via", F.array("mid"), "mid_via")).otherwise(F.col("via")) if paths else none).alias("via"),
-                "kind",
-            )
-        )
-        rounds.append(state.where("kind in ('leaf', 'splice')"))
-        found = state.where("kind = 'loop'").select("id")
-        loops = found if loops is None else loops.union(found)
-        alive = state.where("kind = 'stays'").drop("kind")
-        left = alive.count()
-    unlinked = F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"), none.alias("path")
-    done = roots
-    if loops is not None:
-        done = done.union(loops.select("id", *unlinked))
-        alive = alive.join(loops.select(F.col("id").alias("loop")), F.col("parent") == F.col("loop"), "left").withColumn("parent_loops", F.col("loop").isNotNull()).drop("loop")
-    else:
-        alive = alive.withColumn("parent_loops", F.lit(False))
-    core = alive.withColumns({"paths": F.lit(paths), "one": F.lit(1)}).groupBy("one").applyInPandas(_finish, "id string, root string, depth long, path array<string>")
-    done = done.union(core)
-    for removed in reversed(rounds):
-        up = done.select(F.col("id").alias("up"), F.col("root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-        ok = F.col("up_depth") >= 0
-        step = removed.join(up, F.col("parent") == F.col("up")).select(
-            "id",
-            "root",
-            F.when(ok, F.col("up_depth") + F.col("w")).otherwise(F.lit(-1)).alias("depth"),
-            (F.when(ok, F.concat("up_path", F.reverse("via"), F.array("id"))).otherwise(none) if paths else none).alias("path"),
-        )
-        done = done.union(cut(step))
-    return done
+    return roots.union(read_all(done))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -30,17 +30,27 @@ def brute_forest(rows):
     return out
 
 
-@pytest.mark.parametrize("residue", [0, 10_000])
-def test_hierarchy_against_brute_force(spark, residue):
+def test_hierarchy_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(str(i), str(rng.randrange(max(1, i - 4), i + 1)) if i % 9 else None) for i in range(1, 120)]
     rows += [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("f", "f"), ("g", "nowhere"), ("h", " "), ("h", " "), (None, "a"), ("i", "h"), ("i", "g")]
     rows += [(f"chain{i}", f"chain{i - 1}") for i in range(1, 40)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id string, parent string, root string")
-    got = {r.id: (r.root, r.depth, r.path) for r in hierarchy.resolve(hierarchy.links(df, "id", "parent"), paths=True, residue=residue).collect()}
+    got = {r.id: (r.root, r.depth, r.path) for r in hierarchy.resolve(hierarchy.links(df, "id", "parent"), paths=True).collect()}
     assert got == brute_forest(rows)
 
 
+def test_long_chain_wide_hub_and_long_loop(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("c"), F.col("id") - 1)).alias("parent"))
+    hub = spark.range(30_000).select(F.concat(F.lit("h"), "id").alias("id"), F.lit("c70000").alias("parent"))
+    loop = spark.range(5_000).select(F.concat(F.lit("l"), "id").alias("id"), F.concat(F.lit("l"), (F.col("id") + 1) % 5_000).alias("parent"))
+    got = hierarchy.resolve(hierarchy.links(chain.union(hub).union(loop), "id", "parent"))
+    want = F.when(F.col("id").startswith("c"), F.substring("id", F.lit(2), F.lit(9)).cast("long")).when(F.col("id").startswith("h"), 70_001).otherwise(-1)
+    assert got.count() == n + 35_000
+    assert got.where((F.col("depth") != want) | (F.col("root") != F.when(want < 0, "").otherwise("c0"))).count() == 0
+
+
 def test_hierarchy_of_nothing_and_descendants(spark):
     none = spark.createDataFrame([], "id string, parent string")
     assert hierarchy.resolve(hierarchy.links(none, "id", "parent")).count() == 0
