@@ -9,15 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_EXACT = np.array([math.lgamma(i + 1) for i in range(32)])
-
-
-def _log_factorial(k: np.ndarray) -> np.ndarray:
-    """Log of k! by Stirling's series, from a table below 32."""
-    z = np.maximum(k, 31) + 1.0
-    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
-    return np.where(k < 32, _EXACT[np.minimum(k, 31)], series)
-
+from siltflow.functions.numbers import log_factorial as _log_factorial
 
 class Abundances:
     """Abundances as distinct counts x with the number of taxa f that have each."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltflow.functions.iupac import revcomp
+from siltflow.functions.numbers import log_factorial as _log_factorial
 
 SIGNIFICANT = 0.01
 _CORRECT = 1.0 - 10.0 ** (-np.arange(94) / 10.0)
@@ -35,27 +36,43 @@ def composition(r1: DataFrame, batch_size: int = 1_000_000) -> Composition:
     return Composition(tuple(row[c] / row["all"] for c in "ACGT"), row["longest"])
 
 
-def overlap_p_value(q: float, overlap: int, oes: float, alpha: float, beta: float, longest: int) -> float:
-    """Chance that unrelated reads reach this score at an overlap of at least this length."""
-    if overlap > longest:
-        return 0.0
-    if q <= 0 or alpha == beta:
-        return 1.0
-    if q >= 1:
-        return 0.0
-    keep = 1.0
-    for i in range(overlap, longest + 1):
-        most = math.ceil((oes - beta * i) / (alpha - beta)) - 1
-        if most < 0:
-            return 1.0
-        if most >= i:
-            continue
-        k = np.arange(most)
-        terms = np.cumprod(np.concatenate([[(1 - q) ** i], (i - k) / (k + 1) * (q / (1 - q))]))
-        keep *= float(terms.sum())
-        if keep <= 0:
-            return 1.0
-    return max(0.0, 1 - keep * keep)
+# Results where the distribution below has no meaning, by the first condition that holds.
+EDGES = (
+    ("overlap longer than the longest read", 0.0),
+    ("no base ever agrees by chance", 1.0),
+    ("every base agrees by chance", 0.0),
+    ("equal and unequal bases score alike", 1.0),
+)
+
+
+def overlap_chances(q: float, overlap: np.ndarray, score: np.ndarray, alpha: float, beta: float, longest: int) -> np.ndarray:
+    """Chance that two unrelated reads reach each of these scores with an overlap of at least this length.
+
+    Of i random positions k agree with the binomial probability of (i, q), which scores alpha * k + beta * (i - k). The
+    scores of all overlaps from the given one to the longest read stay below, on both ends, with the product of the squared distribution
+    functions; the result is what is left of 1. Logarithms of the distribution functions are summed for all
+    pairs at once, a block of lengths after another.
+    """
+    overlap, score = np.asarray(overlap, np.int64), np.asarray(score, float)
+    for holds, (_, value) in zip((overlap.min(initial=longest + 1) > longest, q <= 0, q >= 1, alpha == beta), EDGES):
+        if holds:
+            return np.full(len(overlap), value)
+    kept = np.zeros(len(overlap))
+    height = max(1, 1_000_000 // (longest + 1))
+    for low in range(int(overlap.min()), longest + 1, height):
+        size = np.arange(low, min(low + height, longest + 1))
+        hit = np.arange(size[-1] + 1)
+        miss = size[:, None] - hit
+        log_p = _log_factorial(size)[:, None] - _log_factorial(hit) - _log_factorial(np.maximum(miss, 0)) + hit * math.log(q) + miss * math.log1p(-q)
+        with np.errstate(divide="ignore"):
+            below = np.log(np.minimum(np.cumsum(np.where(miss >= 0, np.exp(log_p), 0.0), axis=1), 1.0))
+        for n in range(0, len(score), 4096):
+            part = slice(n, n + 4096)
+            most = np.ceil((score[part, None] - beta * size) / (alpha - beta)).astype(np.int64) - 1  # agreements that stay below the score
+            log = below[np.arange(len(size)), np.clip(most, 0, size)]
+            log = np.where((most >= size) | (size < overlap[part, None]), 0.0, np.where(most < 0, -np.inf, log))
+            kept[part] += log.sum(axis=1)
+    return np.where(overlap > longest, EDGES[0][1], np.maximum(-np.expm1(2 * kept), 0.0))
 
 
 def _tables(share: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -141,21 +158,17 @@ def merge_pair_batch(b: pd.DataFrame, comp: Composition, min_overlap: int, alpha
     for n, (x, y) in enumerate(zip(s1, s2)):
         shapes.setdefault((len(x), len(y)), []).append(n)
     letters = lambda texts, w: np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), w)
-    known: dict[tuple[int, float], float] = {}
     for (n1, n2), rows in shapes.items():
         step = max(1, 2_000_000 // max(1, n1 + n2))
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
             level = lambda texts, w: np.clip(letters(texts, w).astype(int) - 33, 0, 93)
             best = best_overlaps(letters([s1[k] for k in part], n1), level([q1[k] for k in part], n1), letters([s2[k] for k in part], n2), level([q2[k] for k in part], n2), comp, min_overlap, alpha, beta)
+            chances = np.ones(len(part))
+            met = np.nonzero(best["overlap"])[0]
+            chances[met] = overlap_chances(q, best["overlap"][met], best["oes"][met], alpha, beta, comp.max_length)
             for m, k in enumerate(part):
-                overlap, oes = int(best["overlap"][m]), float(best["oes"][m])
-                if not overlap:
-                    p = 1.0
-                elif (overlap, oes) in known:
-                    p = known[overlap, oes]
-                else:
-                    p = known[overlap, oes] = min(1.0, overlap_p_value(q, overlap, oes, alpha, beta, comp.max_length))
+                overlap, p = int(best["overlap"][m]), float(chances[m])
                 if p >= SIGNIFICANT:
                     out[k] = (s1[k] + s2[k], q1[k] + q2[k], 0, 0, 0.0, p)
                 else:

@@ -38,6 +38,18 @@ def test_pairs_with_known_results():
     assert merged("", "", 0, 10).overlap == 0
 
 
+def test_overlap_chance_against_sums():
+    def plain(q, least, score, longest):
+        below = [sum(math.comb(i, k) * q**k * (1 - q) ** (i - k) for k in range(i + 1) if 2 * k - i < score) for i in range(least, longest + 1)]
+        return 1 - math.prod(below) ** 2 if below else 0.0
+
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        longest, q = int(rng.integers(5, 60)), float(rng.uniform(0.05, 0.95))
+        least, score = rng.integers(1, longest + 3, 6), rng.uniform(-longest, longest, 6)
+        assert pairend.overlap_chances(q, least, score, 1.0, -1.0, longest) == pytest.approx([plain(q, n, s, longest) for n, s in zip(least.tolist(), score)], abs=1e-9)
+
+
 def test_pairs_by_place(spark):
     rng = random.Random(1)
     t = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(40)]
