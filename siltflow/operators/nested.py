@@ -8,8 +8,10 @@ rows above, so that a table can be used without joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 from typing import Any
 
 import pandas as pd
@@ -17,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltflow.functions.loosejson import BROKEN, loose_json
+from siltflow.plans.spread import spread
 
 ROOT = ""
 MOST_EDGES = 100_000  # of a schema; more means that data are taken for labels
+LONGEST_ROW_ID = 200  # a row id is the way from the root while it is no longer than this, then a number
 ROWS = "rec_id string, relation string, row_id string, parent_relation string, parent_id string, pos long, key string, above array<string>, blocks array<string>, cols map<string,string>"
 
 
+@lru_cache(maxsize=100_000)
 def _child(path: str, label: str) -> str:
     """Path of a member; a label that already occurs above is recursion and leads back to it."""
     parts = path.split("/") if path else []
@@ -99,48 +104,60 @@ def schema_graph(df: DataFrame, id_col: str, json_col: str, keyed: Mapping[str,
     return Graph(repeated, shared, frozenset(b for _, b, kind in found if kind == "recursive"))
 
 
-def _shred(rec: str, value: Any, graph: Graph, keyed: Mapping[str, int], names: Mapping[str, str]) -> Iterable[tuple]:
-    """Rows of one record. The parent row is named by relation and row id; row ids are positions from the root."""
+def _shred(rec: str, value: Any, graph: Graph, keyed: Mapping[str, int], names: Mapping[str, str]) -> list[tuple]:
+    """Rows of one record, made from a list of open tasks, so that depth is no limit.
+
+    The parent row is named by relation and row id. ``keys`` holds (path, key) of the rows above that lie on the way to a row's
+    path in the schema graph; a recursive element leads back to its path, so keys are bounded by the graph and not by the record.
+    """
     blocks = list(value) if isinstance(value, dict) else []
     out: list[tuple] = []
+    number = count(1)
+
+    def row_id(above: str, label: str, n: int) -> str:
+        way = f"{above}.{label}{n}"
+        return way if len(way) <= LONGEST_ROW_ID else f"#{next(number)}"
 
-    def emit(v: Any, path: str, row: str, above_row: tuple[str, str], pos: int, key: str | None, above: list[str]) -> None:
+    def on_way(keys: tuple, path: str) -> tuple:
+        while keys and not path.startswith(keys[-1][0] + "/"):
+            keys = keys[:-1]
+        return keys
+
+    # (value, path, row, parent row, position, key, keys above, levels of keys below)
+    todo: list[tuple] = []
+    tops = value if isinstance(value, list) else [value]
+    todo.extend((v, ROOT, f"{n}" if isinstance(value, list) else "", (ROOT, ""), n, None, (), 0) for n, v in enumerate(tops, 1))
+    todo.reverse()
+    while todo:
+        v, path, row, parent, pos, key, keys, levels = todo.pop()
+        keys = on_way(keys, path)
         cols: dict[str, str | None] = {}
         if key is None and isinstance(v, dict) and path in names:
             key = _text(v.get(names[path]))
-        out.append((rec, path, row, above_row[0], above_row[1], pos, key, above, blocks, cols))
+        out.append((rec, path, row, *parent, pos, key, [k for _, k in keys], blocks, cols))
         here = (path, row)
-        keys = above if path == ROOT else [*above, key if key is not None else ""]
-        if isinstance(v, dict):
-            inline(v, path, "", cols, here, keys)
-        elif not isinstance(v, list):
+        if path != ROOT:
+            keys = (*keys, (path, key if key is not None else ""))
+        if levels and isinstance(v, dict):
+            todo.extend((x, _child(path, "*"), row_id(row, "*", n), here, n, k, keys, levels - 1) for n, (k, x) in enumerate(v.items(), 1))
+        elif isinstance(v, dict):
+            inner = [(v, path, "")]
+            while inner:
+                members, at, prefix = inner.pop()
+                for label, x in members.items():
+                    to = _child(at, label)
+                    if isinstance(x, dict) and keyed.get(to):
+                        todo.extend((y, to, row_id(row, label, n), here, n, k, keys, keyed[to] - 1) for n, (k, y) in enumerate(x.items(), 1))
+                    elif isinstance(x, list) or (isinstance(x, dict) and graph.has_table(to)):
+                        todo.extend((y, to, row_id(row, label, n), here, n, None, keys, 0) for n, y in enumerate(x if isinstance(x, list) else [x], 1))
+                    elif isinstance(x, dict):
+                        inner.append((x, to, f"{prefix}{label}."))
+                    else:
+                        cols[prefix + label] = _text(x)
+        elif isinstance(v, list):
+            todo.extend((y, path, row_id(row, "", n), here, n, None, keys, 0) for n, y in enumerate(v, 1))
+        else:
             cols["value"] = _text(v)
-
-    def inline(v: dict, path: str, prefix: str, cols: dict, here: tuple[str, str], keys: list[str]) -> None:
-        for label, x in v.items():
-            to = _child(path, label)
-            if isinstance(x, dict) and keyed.get(to):
-                entries(x, to, keyed[to], here, keys, label)
-            elif graph.has_table(to) and isinstance(x, (dict, list)):
-                for n, y in enumerate(x if isinstance(x, list) else [x], 1):
-                    emit(y, to, f"{here[1]}.{label}{n}", here, n, None, keys)
-            elif isinstance(x, dict):
-                inline(x, to, f"{prefix}{label}.", cols, here, keys)
-            elif not isinstance(x, list):
-                cols[prefix + label] = _text(x)
-
-    def entries(v: dict, path: str, levels: int, here: tuple[str, str], keys: list[str], label: str) -> None:
-        for n, (k, x) in enumerate(v.items(), 1):
-            row = f"{here[1]}.{label}{n}"
-            if levels > 1 and isinstance(x, dict):
-                out.append((rec, path, row, here[0], here[1], n, k, keys, blocks, {}))
-                entries(x, _child(path, "*"), levels - 1, (path, row), [*keys, k], "*")
-            else:
-                emit(x, path, row, here, n, k, keys)
-
-    tops = value if isinstance(value, list) else [value]
-    for n, v in enumerate(tops, 1):
-        emit(v, ROOT, f"{n}" if isinstance(value, list) else "", (ROOT, ""), n, None, [])
     return out
 
 
@@ -151,7 +168,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, keyed: Mapping[str, int], n
     id count once (of differing texts the least). Records with null id are left out; null, blank
     or broken JSON gives no rows. ``above`` holds the keys of the rows above, '' where a row has none.
     """
-    one = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("rec_id")).agg(F.min(json_col).alias("t"))
+    one = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("rec_id"), F.col(json_col).alias("t")), "rec_id").groupBy("rec_id").agg(F.min("t").alias("t"))
     graph = schema_graph(df, id_col, json_col, keyed, parse)
     keyed, names = dict(keyed), dict(names)
 
@@ -162,10 +179,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, keyed: Mapping[str, int], n
             for rec, text in zip(b.rec_id, b.t):
                 if (v := parse(text)) is BROKEN:
                     continue
-                try:
-                    out.extend(_shred(rec, v, graph, keyed, names))
-                except RecursionError:
-                    continue
+                out.extend(_shred(rec, v, graph, keyed, names))
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=head)
                     out = []
@@ -174,6 +188,21 @@ def shred(df: DataFrame, id_col: str, json_col: str, keyed: Mapping[str, int], n
     return one.mapInPandas(rows, ROWS)
 
 
+def reading_report(df: DataFrame, id_col: str, json_col: str, parse: Callable[[str | None], Any] = loose_json) -> DataFrame:
+    """(records, blank, broken, read): how many records have no text, text that cannot be read, and rows. Repeated rows of an id count once."""
+    one = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("rec_id")).agg(F.min(json_col).alias("t"))
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            blank = [t is None or not t.strip() for t in b.t]
+            broken = sum(not e and parse(t) is BROKEN for e, t in zip(blank, b.t))
+            yield pd.DataFrame({"records": [len(b)], "blank": [sum(blank)], "broken": [broken]})
+
+    each = one.select("t").mapInPandas(tell, "records long, blank long, broken long")
+    total = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "blank", "broken")])
+    return total.withColumn("read", F.col("records") - F.col("blank") - F.col("broken"))
+
+
 def table(rows: DataFrame, relation: str, columns: Mapping[str, str]) -> DataFrame:
     """One flat table with typed columns; a value that does not fit its type is null.
 

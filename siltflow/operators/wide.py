@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WHOLE = re.compile(r"\+?(\d+|\d{1,3}(?:,\d{3})+)(?:\.0*)?")
@@ -14,6 +16,7 @@ _POWER = re.compile(r"\+?\d+(?:\.\d*)?[eE][+-]?\d{1,2}")
 MOST = 2**63 - 1
 #: Registers are Python objects: a partition is sized by rows (counted from the file footers) to fit a worker.
 ROWS_A_PARTITION = 400_000
+MOST_TAGS = 10_000  # each makes two columns
 
 
 def whole_number(text: str | None) -> int | None:
@@ -44,6 +47,19 @@ def tag_of(sample: str | None) -> str | None:
     return tag.upper() or None
 
 
+def tags_of(df: DataFrame, sample: str = "sample") -> list[str]:
+    """All tags of a table in order, read from its distinct sample texts by the rule that also reads the cells."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"tag": [t for t in map(tag_of, b.s) if t is not None]}, dtype=object)
+
+    found = df.select(F.col(sample).alias("s")).distinct().mapInPandas(read, "tag string").distinct().limit(MOST_TAGS + 1).collect()
+    if len(found) > MOST_TAGS:
+        raise ValueError(f"more than {MOST_TAGS} tags: name the columns that are wanted")
+    return sorted(r[0] for r in found)
+
+
 Register = dict[str, tuple[Any, Any, Any]]
 
 

@@ -51,9 +51,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     cells = _table(spark, d, "fasta_to_table")
-    tag = F.upper(F.regexp_replace(F.trim(F.regexp_replace("sample", r"\s+", " ")), "(?i)^count_ *", ""))
-    tags = [r[0] for r in cells.select(tag.alias("t")).where("t <> ''").distinct().orderBy("t").collect()]  # column names
-    return wide.wide_table(cells, tags)
+    return wide.wide_table(cells, wide.tags_of(cells))
 
 
 def p6_rows_node(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +88,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return node.union(info).distinct()
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records without text, with text that cannot be read, and read ones, by table."""
+    node = nested.reading_report(_table(spark, d, "node"), "node_id", "raw_header", nested.header_json)
+    info = nested.reading_report(_table(spark, d, "unique_info"), "uniq_id", "pairend_json", nested.pairend_json)
+    return node.select(F.lit("node").alias("tbl"), "*").union(info.select(F.lit("unique_info").alias("tbl"), "*"))
+
+
 def _map_totals(spark: SparkSession, d: str) -> list[DataFrame]:
     return [
         skewagg.key_totals(skewagg.map_entries(_table(spark, d, t), i, m)).select(F.lit(t).alias("tbl"), "*")
@@ -108,4 +113,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return totals.join(F.broadcast(per), F.col("tbl") == F.col("of")).where("n_entries * 100 > everything * 3").select("tbl", "exp", "sample")  # per: one row a table
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p5_found, p5_wide, p6_found, p7_found, p7_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p5_found, p5_wide, p6_found, p6_report, p7_found, p7_totals)}

@@ -49,6 +49,9 @@ SQL = {
         UNION ALL SELECT p.tbl, l.parent, p.id, p.steps + 1 FROM pairs p JOIN link l ON l.tbl = p.tbl AND l.id = p.anc WHERE l.parent IS NOT NULL)
       SELECT tbl, anc AS node_key, id AS descendant_key, steps FROM pairs""",
     "p5_found": f"WITH {_CELLS} SELECT * FROM per_entity",
+    "p5_wide": f"""SELECT experiment, id, n_samples, total_count, n_head, COLUMNS('^(.*)_c$') AS 'count_\\1', COLUMNS('^(.*)_s$') AS 'status_\\1' FROM (
+      PIVOT (WITH {_CELLS} SELECT p.*, tag, n, status FROM per_entity p LEFT JOIN cells c ON c.experiment IS NOT DISTINCT FROM p.experiment AND c.id IS NOT DISTINCT FROM p.id)
+      ON tag USING max(n) AS c, max(status) AS s GROUP BY experiment, id, n_samples, total_count, n_head)""",
     "p7_totals": f"WITH {_TOTALS} SELECT tbl, exp, sample, n_entries, total_count, max_count FROM tot",
     "p7_found": f"WITH {_TOTALS} SELECT tbl, exp, sample FROM tot QUALIFY n_entries * 100 > 3 * sum(n_entries) OVER (PARTITION BY tbl)",
 }

@@ -93,6 +93,12 @@ def test_wide_columns_hold_the_deciding_cells(spark):
     assert got == {tuple(r) for r in latest_cells(spark, SF).collect()}
 
 
+def test_blanks_inside_a_tag(spark):
+    df = spark.createDataFrame([(1, "e", "x", " count_ f1\t a ", "3", None, None), (2, "e", "x", "f1  a", "4", None, None), (3, "e", "x", " ", "9", None, None)], "row_no long, experiment string, id string, sample string, count string, status string, loaded_at timestamp")
+    assert wide.tags_of(df) == ["F1\t A", "F1  A"]
+    assert wide.wide_table(df, wide.tags_of(df)).select("`count_F1\t A`", "`count_F1  A`").first() == (3, 4)
+
+
 def test_loose_json():
     assert loose_json(' "a" : {"b": 1}, "c": [2]') == {"a": {"b": 1}, "c": [2]}
     assert loose_json('{"a": 1} {"x"') == {"a": 1}
@@ -160,6 +166,34 @@ def test_shared_inlining(spark):
     assert sorted((r.pos, r.k, r.value) for r in nested.table(rows, "list", {"k": "int", "value": "int"}).collect()) == [(1, 2, None), (2, None, 3)]
 
 
+def test_any_depth_is_read(spark):
+    n = 100_000
+    rows = [
+        (1, '{"a": ' * n + '{"v": 7}' + "}" * n), (2, "[" * n + "5" + "]" * n), (3, '{"a": ' * n), (4, '{"m": [[1, 2], [], [[3]]]}'),
+        (5, '{"list": ' + '{"k": {"list": ' * 1500 + "[4]" + "}}" * 1500 + "}"), (6, None), (7, " "),
+    ]
+    df = spark.createDataFrame(rows, "id long, j string")
+    got = nested.shred(df, "id", "j", {}, {})
+    assert [(r.rec_id, r.v) for r in nested.table(got, "a", {"v": "int"}).where("v is not null").collect()] == [("1", 7)]
+    per = {r.rec_id: r["count"] for r in got.groupBy("rec_id").count().collect()}
+    assert per["1"] == n + 1 and per["2"] == n and "3" not in per
+    deep = got.where("rec_id = '1'")
+    assert deep.join(deep.select(F.col("relation").alias("r"), F.col("row_id").alias("i")), (F.col("parent_relation") == F.col("r")) & (F.col("parent_id") == F.col("i"))).count() == n + 1
+    m = [(r.parent_relation, r.parent_id, r.row_id, r.pos, r.value) for r in nested.table(got.where("rec_id = '4'"), "m", {"value": "int"}).orderBy("row_id").collect()]
+    assert [x[3:] for x in m if x[4]] == [(1, 1), (2, 2), (1, 3)] and len(m) == 7
+    assert tuple(nested.reading_report(df, "id", "j").first()) == (7, 2, 1, 4)
+
+
+def test_deep_values_equal_the_plain_decoder():
+    from siltflow.functions.loosejson import deep_value
+
+    for t in ('{"a": [1, -2.5e3, true, null, {"b": "x\\u00e9\\"", "": {}}], "c": []} rest', "[]", '"s"', "12", "[ 1 ,2 ]", '{"a":1,"a":2}'):
+        assert deep_value(t, 0) == json.JSONDecoder().raw_decode(t)
+    for t in ("", "[1", "[1,", "[1 2]", '{"a"', '{"a":', '{"a":1,}', "{1:2}", "nul", "[1}"):
+        with pytest.raises(ValueError):
+            deep_value(t, 0)
+
+
 def test_salted_aggregate_equals_plain(spark):
     rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i % 7}", i % 5) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, n long")
