@@ -7,10 +7,12 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts beside the Latin letters they look like.
+# Letters of other scripts beside the Latin letters they look like. They come before what Unicode's own
+# table of confusable characters says of the rest, see ``confusable``.
 CYRILLIC = "АВЕЅІЈКМНОРСТХҮԌԚԜ" + "аеѕіјорсухһԁԛԝӏү"
 CYRILLIC_AS = "ABESIJKMHOPCTXYGQW" + "aesijopcyxhdqwly"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "ανοριυκχϲϳ"
@@ -21,6 +23,28 @@ _VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x11
 _NO_SHAPE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
 
+@lru_cache(maxsize=1)
+def confusable() -> dict[str, str]:
+    """Letters of other scripts and the one Latin letter each is confused with, by Unicode's confusables data.
+
+    The data come with the ICU library that Spark itself uses: two characters are confusable when their skeletons are
+    equal. Of several Latin letters of one skeleton the one in the letter's own case is taken. Compatibility forms are left
+    to the character data, as are Latin letters with strokes, hooks and the like, which are letters of their own.
+    """
+    latin = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rest = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFKC", c) == c and "LATIN" not in unicodedata.name(c, "LATIN")]
+    checker = getattr(SparkContext._active_spark_context._jvm.com.ibm.icu.text.SpoofChecker, "Builder")().build()
+    skeletons = checker.getSkeleton("\n".join([*latin, *rest])).split("\n")
+    of: dict[str, list[str]] = {}
+    for x, s in zip(latin, skeletons):
+        of.setdefault(s, []).append(x)
+    found = {}
+    for c, s in zip(rest, skeletons[len(latin) :]):
+        if like := of.get(s):
+            found[c] = next((x for x in like if x.isupper() == c.isupper()), like[0])
+    return found
+
+
 @lru_cache(maxsize=1)
 def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     """(one character -> one or none, one -> several, letter and accent -> letter), all made by rule
@@ -30,7 +54,7 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     one: dict[str, str] = {}
     several: dict[str, str] = {}
     pairs: dict[str, str] = {}
-    alike = dict(zip(CYRILLIC + GREEK + OTHERS, CYRILLIC_AS + GREEK_AS + OTHERS_AS))
+    alike = confusable() | dict(zip(CYRILLIC + GREEK + OTHERS, CYRILLIC_AS + GREEK_AS + OTHERS_AS))
     for cp in range(sys.maxunicode + 1):
         c = chr(cp)
         kind = unicodedata.category(c)
@@ -62,71 +86,74 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     return one, several, pairs
 
 
-def translation() -> tuple[str, str]:
-    """The arguments of SQL's translate: characters without counterpart are at the end."""
-    one, _, _ = tables()
-    kept = {a: b for a, b in one.items() if b and a != "\0"}
-    gone = [a for a, b in one.items() if not b and a != "\0"]
-    return "".join([*kept, *gone]), "".join(kept.values())
-
-
 def _lookup(table: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def consistent(text: Column) -> Column:
-    """The look-alike map as an expression.
-
-    Printable ASCII is passed on as it is; further steps run only on text that has characters for
-    them. Null stays null and blank text blank.
-    """
-    _, several, pairs = tables()
-    plain = F.translate(text, *translation())
-    chars = F.split(plain, "")
+def plain_letters(text: Column) -> Column:
+    """Every character by itself: spaces, and the letters and digits that other characters look like. Shapeless characters and separate accents stay."""
+    one, several, _ = tables()
+    kept = {a: b for a, b in one.items() if b and a != "\0"}
+    plain = F.translate(text, "".join(kept), "".join(kept.values()))
     wide = _lookup(several)
-    opened = F.when(plain.rlike("[" + "".join(several) + "]"), F.array_join(F.transform(chars, lambda c: F.coalesce(F.element_at(wide, c), c)), "")).otherwise(plain)
+    opened = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.element_at(wide, c), c)), "")
+    return F.when(plain.rlike("[" + "".join(several) + "]"), opened).otherwise(plain)
+
+
+def tidy(plain: Column) -> Column:
+    """Without shapeless characters, and with letter and accent as one character where there is one."""
+    one, _, pairs = tables()
+    seen = F.translate(plain, "".join(a for a, b in one.items() if not b and a != "\0"), "")
     known = _lookup(pairs)
     joined = F.aggregate(
-        F.split(opened, ""),
+        F.split(seen, ""),
         F.lit(""),
         lambda acc, c: F.when(
             c.rlike(r"^\p{M}") & F.element_at(known, F.concat(F.right(acc, F.lit(1)), c)).isNotNull(),
             F.concat(F.left(acc, F.length(acc) - 1), F.element_at(known, F.concat(F.right(acc, F.lit(1)), c))),
         ).otherwise(F.concat(acc, c)),
     )
-    done = F.when(opened.rlike(r"\p{M}"), joined).otherwise(opened)
-    return F.when(text.rlike(r"[^ -~]"), done).otherwise(text)
+    return F.when(seen.rlike(r"\p{M}"), joined).otherwise(seen)
+
+
+def _odd(text: Column) -> Column:
+    """Whether there is anything beside printable ASCII; a text without is in its consistent form."""
+    return text.rlike(r"[^ -~]")
+
+
+def consistent(text: Column) -> Column:
+    """The look-alike map as an expression. Printable ASCII is passed on as it is. Null stays null and blank text blank."""
+    return F.when(_odd(text), tidy(plain_letters(text))).otherwise(text)
 
 
 def canonical_forms(values: DataFrame) -> DataFrame:
-    """(value, clean) for a column ``value`` of distinct texts.
+    """(value, clean) for a column ``value`` of distinct texts that hold anything beside printable ASCII; others are left out, being their own form.
 
-    Values are mapped, then grouped under accent- and case-sensitive Unicode collation, which joins
-    what only differs in ignorable characters or in the way accents are written; the member with
-    the fewest characters, of those the least in code point order, stands for its class.
+    Letters are mapped, then values are grouped under accent- and case-sensitive Unicode collation, under which texts are
+    equal that only differ in shapeless characters or in the way accented letters and syllables are put together. Each
+    member offers its tidy form; the one of fewest characters, of those the least in code point order, stands for the class.
     Null is left out; empty input gives an empty result.
     """
-    spark = values.sparkSession
-    mapped = values.where("value is not null").select("value", consistent(F.col("value")).alias("mapped"))
-    mapped.createOrReplaceTempView("_lookalike_mapped")
-    return spark.sql(
+    mapped = values.where(_odd(F.col("value"))).select("value", plain_letters(F.col("value")).alias("plain")).withColumn("tidy", tidy(F.col("plain")))
+    return values.sparkSession.sql(
         """
         SELECT m.value, c.canon AS clean
-        FROM _lookalike_mapped m JOIN (
-          SELECT collate(mapped, 'UNICODE') AS class, min_by(mapped, struct(length(mapped), mapped)) AS canon
-          FROM _lookalike_mapped GROUP BY collate(mapped, 'UNICODE')) c
-        ON collate(m.mapped, 'UNICODE') = c.class
-        """
+        FROM {mapped} m JOIN (
+          SELECT collate(plain, 'UNICODE') AS class, min_by(tidy, struct(length(tidy), tidy)) AS canon
+          FROM {mapped} GROUP BY collate(plain, 'UNICODE')) c
+        ON collate(m.plain, 'UNICODE') = c.class
+        """,
+        mapped=mapped,
     )
 
 
 def unify(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """(id, col_name, value, clean): one row per id and column whose value has a consistent form other than itself.
 
-    Repeated rows give one row. Null ids and null values are left out. Columns beside those named are not read.
+    Values of printable ASCII are never shuffled. Repeated rows give one row. Null ids and null values are left out. Columns beside those named are not read.
     """
     long = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("value")) for c in cols])).alias("e")
-    ).select("id", "e.col_name", "e.value").where("value is not null")
+    ).select("id", "e.col_name", "e.value").where(_odd(F.col("value")))
     forms = canonical_forms(long.select("value").distinct()).where("clean <> value")
     return long.join(forms, "value").select("id", "col_name", "value", "clean").distinct()

@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from siltflow.llm.lookalikes import tables, translation
-from siltflow.llm.names import QUALIFIERS
+import sys
+import unicodedata
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Letters of other scripts, each before the Latin letter it stands for.
+_OTHER_SCRIPTS = (
+    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw ӏl "
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa νv οo ρp ιi υu κk χx ϲc ϳj"
+)
+_SHAPELESS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+
+
 def _clean(col: str) -> str:
-    a, b = translation()
-    out = f"translate({col}, {_q(a)}, {_q(b)})"
-    for c, plain in tables()[1].items():
-        if plain.isascii():
-            out = f"replace({out}, {_q(c)}, {_q(plain)})"
+    """The consistent form, by normalising every character alone; made apart from the operator's tables."""
+    single, longer, gone = dict(p for p in _OTHER_SCRIPTS.split() if p), [], _SHAPELESS
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        kind, plain = unicodedata.category(c), unicodedata.normalize("NFKC", c)
+        if kind[0] == "Z" or c == "\x85":
+            single[c] = " "
+        elif kind in ("Cf", "Cc") or "VARIATION SELECTOR" in unicodedata.name(c, ""):
+            gone += c
+        elif kind[0] in "LN" and plain.isascii() and plain.isalnum():
+            if len(plain) == 1:
+                single[c] = plain
+            else:
+                longer.append((c, plain))
+    out = f"translate({col}, {_q(''.join([*single, *gone]))}, {_q(''.join(single.values()))})"
+    for c, plain in longer:
+        out = f"replace({out}, {_q(c)}, {_q(plain)})"
     return f"nfc_normalize({out})"
 
 
+# Words that qualify a name and are not part of it.
+_QUALIFIERS = "adult aff cf forma indet isolate juv larva nr sample sp specimen spp ssp strain subsp var voucher".split()
+
 _LONG = """
 d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 150),
 w AS (SELECT doc_id, i, substr(text, i, 150) s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) i FROM d)),
@@ -40,7 +62,7 @@ SQL = {
       SELECT DISTINCT a AS node_a, b AS node_b FROM sim JOIN e p ON p.id = a JOIN e q ON q.id = b AND q.x = p.x AND q.s = p.s""",
     "p4_found": f"""
       WITH t AS (SELECT taxon_id, lower({_clean("min(scientific_name)")}) n FROM col_taxa WHERE rank = 'species' AND trim(scientific_name) <> '' AND taxon_id IS NOT NULL GROUP BY 1),
-      w AS (SELECT taxon_id, list_filter(regexp_extract_all(n, '\\p{{L}}+'), lambda x: NOT list_contains([{", ".join(map(_q, sorted(QUALIFIERS)))}], x)) w FROM t),
+      w AS (SELECT taxon_id, list_filter(regexp_extract_all(n, '\\p{{L}}+'), lambda x: NOT list_contains([{", ".join(map(_q, _QUALIFIERS))}], x)) w FROM t),
       k AS (SELECT taxon_id, w[i] a, w[j] b FROM (SELECT taxon_id, w, i, unnest([i + 1, i + 2]) j FROM (SELECT taxon_id, w, unnest(range(1, len(w))) i FROM w)) WHERE j <= len(w) AND length(w[j]) > 1),
       keys AS (SELECT DISTINCT taxon_id, CASE WHEN length(a) = 1 THEN a ELSE '' END ini, CASE WHEN length(a) = 1 THEN b ELSE a || ' ' || b END key, length(a) + length(b) size FROM k
         UNION SELECT taxon_id, '', x, length(x) FROM (SELECT taxon_id, unnest(w) x FROM w) WHERE length(x) > 9),

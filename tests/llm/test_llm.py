@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltflow.llm import leaks, lookalikes, mixing, names, near, registry, spans
 
@@ -20,6 +21,20 @@ def test_consistent_form(spark):
     assert lookalikes.unify(df.limit(0), "id", ["v"]).count() == 0
 
 
+def test_letters_of_any_script(spark):
+    alike = lookalikes.confusable()
+    assert len(alike) > 200 and (alike["Ꭰ"], alike["У"], alike["Ӏ"], alike["γ"]) == ("D", "Y", "I", "y") and "é" not in alike and "ø" not in alike
+    df = spark.createDataFrame([(1, "Ꭰо\u200bg"), (2, "øre Ꮃ")], "id long, v string")
+    assert {r.id: r.clean for r in lookalikes.unify(df, "id", ["v"]).collect()} == {1: "Dog", 2: "øre W"}
+
+
+def test_collation_alone_joins_syllables(spark):
+    letters, syllable = "\u1100\u1161 x", "\uac00 x"
+    df = spark.createDataFrame([(1, letters), (2, syllable)], "id long, v string")
+    assert [r.m for r in df.where("id = 1").select(lookalikes.consistent(F.col("v")).alias("m")).collect()] == [letters]
+    assert {r.id: r.clean for r in lookalikes.unify(df, "id", ["v"]).collect()} == {1: syllable}
+
+
 def brute_pairs(rows):
     recs = {}
     for i, s, m in rows:
