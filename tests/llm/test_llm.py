@@ -146,6 +146,24 @@ def test_automaton_against_edit_distance():
         assert {ref: d for ref, d, _ in trie.search(key, 3)} == want
 
 
+def test_many_keys_are_found_as_one_by_one():
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    trie = names.NameTrie([(i, word(rng.randrange(3, 8)), word(rng.randrange(3, 9))) for i in range(150)] + [(999, "g" * 40, "e" * 40)])
+    keys = {f"{word(rng.randrange(1, 8))} {word(rng.randrange(2, 9))}" for _ in range(300)} | {"g" * 40 + " " + "e" * 39, "", "a"}
+    for most in range(4):
+        assert trie.search_all(keys, most) == {k: trie.search(k, most) for k in keys}
+    assert [x[:2] for x in trie.match_all(["g" * 40 + " " + "e" * 39])[0]] == [(999, 1)]
+
+
+def test_entries_beyond_the_nearest_are_listed(spark):
+    ref = spark.createDataFrame([(1, "Abcdefgia", "longepithet"), (2, "Abcdefgia", "longepithot"), (3, "Abcdefgia", "longapithot")], "ref_id long, genus string, epithet string")
+    df = spark.createDataFrame([("a", "Abcdefgia longepithet"), ("b", "Abcdefgia lngepithet")], "id string, name string")
+    for most in (100, 1):
+        got = {r.id: [(m.ref_id, m.distance) for m in r.matches] for r in names.match_names(df, "id", "name", ref, most).collect()}
+        assert got == {"a": [(1, 0), (2, 1), (3, 2)], "b": [(1, 1), (2, 2), (3, 3)]}
+
+
 def test_names(spark):
     ref = spark.createDataFrame([(1, "Abcdefgia", "longepithet"), (2, "Abcdefgia", "otherword"), (3, "Zyxwvuta", "longepithet"), (4, "Accentïa", "longepithet")], "ref_id long, genus string, epithet string")
     typed = {
