@@ -28,18 +28,20 @@ def hot_values(df: DataFrame, col: str, share: float = 0.01) -> list:
     return [v for v in (found[0] if found and found[0] else []) if v is not None]
 
 
-def salted_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, hot: Sequence, how: str = "inner", salts: int = 32) -> DataFrame:
-    """Join ``left.key`` to the unique ``right_key``, where some keys hold a large part of ``left``.
+def salted_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, hot: Sequence, how: str = "inner", salts: int = 32, also: Column | None = None) -> DataFrame:
+    """Join ``left.key`` to ``right_key``, and ``also`` where given, in which ``right`` is unique and some keys hold a large part of ``left``.
 
     Rows of the ``hot`` keys are spread by a hash of themselves, and the few rows of ``right`` that they meet are repeated
     for every salt. Both frames must have different column names.
     """
+    on = F.col(key) == F.col(right_key)
+    on = on if also is None else on & also
     if not hot:
-        return left.join(right, F.col(key) == F.col(right_key), how)
+        return left.join(right, on, how)
     own = F.when(F.col(key).isin(list(hot)), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0))
     copies = F.when(F.col(right_key).isin(list(hot)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     many = right.withColumn("_copy", F.explode(copies))
-    return left.withColumn("_salt", own.cast("int")).join(many, (F.col(key) == F.col(right_key)) & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_copy")
+    return left.withColumn("_salt", own.cast("int")).join(many, on & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_copy")
 
 
 def salted_aggregate(
