@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltflow.plans.lineage import cut
 from siltflow.plans.spread import spread
 
 _WORD = re.compile(r"[^\W_]+")
@@ -119,6 +121,16 @@ class ItemIndex:
         return sorted((i, len(r)) for i, r in found.items())
 
 
+_INDEXES: dict[str, ItemIndex] = {}  # of a Python worker: it keeps the last index for its next tasks
+
+
+def _index(number: str, items: list[tuple[int, str | None]], run: int) -> ItemIndex:
+    if number not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[number] = ItemIndex(items, run)
+    return _INDEXES[number]
+
+
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, run: int = 10, most_chars: int = 20_000_000) -> DataFrame:
     """(doc_id, item_id, runs): documents with at least ``run`` consecutive words of an item.
 
@@ -129,13 +141,15 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     one = items.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).distinct()
     parts = max(1, -(-(one.agg(F.sum(F.length("t"))).first()[0] or 0) // most_chars))
     texts = spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t")), "d")
+    if parts > 1:
+        texts = cut(texts)  # read and spread once for all parts
     out = None
     for p in range(parts):
         rows = [tuple(r) for r in one.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(rows)  # bounded by most_chars
+        shared, number = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex  # bounded by most_chars
 
-        def run_batches(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value, run)
+        def run_batches(batches: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
+            index = _index(number, shared.value, run)
             for b in batches:
                 yield pd.DataFrame([(d, i, n) for d, t in zip(b.d, b.t) for i, n in index.leaked(t)], columns=["doc_id", "item_id", "runs"])
 

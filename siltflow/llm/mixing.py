@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltflow.plans.lineage import cut
+from siltflow.plans.lineage import store
 from siltflow.plans.spread import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BITS = 12
-LEVELS = 5  # 60 of the hash's 63 bits; the last level takes the rest as well
+LEVELS = 5  # all 60 bits of the hash, which stand in the upper part of 63
 
 _LOADED: dict = {}
 
@@ -64,12 +64,13 @@ def mix(sized: DataFrame, id_col: str, targets: DataFrame, seed: int = 0) -> tup
     goal = targets.where("source is not null").groupBy("source").agg(
         F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(1)), F.lit(0)).alias("max_repeats")
     )
-    rows = cut(
+    text = F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))
+    rows = store(
         sized.where(F.col(id_col).isNotNull())
         .groupBy(id_col)
         .agg(F.min("source").alias("source"), F.min("n_tokens").alias("n_tokens"))
-        .withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), 1))
-    )
+        .withColumn("h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") * 8)
+    ).df
     totals = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     plan = goal.join(totals, "source", "left").na.fill(0, ["n_docs", "tokens"])
     usable = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
@@ -82,7 +83,7 @@ def mix(sized: DataFrame, id_col: str, targets: DataFrame, seed: int = 0) -> tup
         .withColumn("rounds", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)))
         .withColumn("rest", F.col("budget") - F.col("rounds") * F.col("tokens"))
     )
-    plan = cut(plan)
+    plan = store(plan).df
     # (source, below, left): all hashes under ``below`` fit; ``left`` tokens may come from the open bucket.
     edge = plan.where("budget > 0").select("source", F.lit(0).cast("long").alias("below"), F.col("rest").alias("left"), F.lit(True).alias("open"))
     for level in range(LEVELS):
@@ -103,7 +104,7 @@ def mix(sized: DataFrame, id_col: str, targets: DataFrame, seed: int = 0) -> tup
             .select("source", (F.col("e.below") + F.col("e.bucket") * width).alias("below"), (F.col("e.left") - F.col("e.cum") + F.col("e.t")).alias("left"), (F.col("e.n") > 1).alias("open"))
         )
         kept = edge.join(F.broadcast(ends.select(F.col("source"), F.lit(1).alias("hit"))), "source", "left").where("not open").drop("hit")
-        edge = cut(kept.union(ends))
+        edge = store(kept.union(ends)).df
         if not edge.where("open").head(1):
             break
     picked = (

@@ -49,12 +49,26 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def _mixed_by_chars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same mix with characters as sizes, which SQL has as well."""
+    sized = _table(spark, d, "documents").select("doc_id", "source", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_tokens"))
+    return mixing.mix(sized, "doc_id", _table(spark, d, "mix_targets"))
+
+
+def p9_mix_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_by_chars(spark, d)[0]
+
+
+def p9_shares_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_by_chars(spark, d)[1].withColumn("actual_share", F.round("actual_share", 9))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_table(spark, d, "documents"), "doc_id", "text").select("doc_id", "shared_chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p8_found, p9_mix, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p8_found, p9_mix, p9_shares, p9_mix_by_chars, p9_shares_by_chars, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

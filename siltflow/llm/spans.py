@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltflow.plans.lineage import cut
+from siltflow.plans.lineage import cut, store
+from siltflow.plans.skew import salted_lookup
 from siltflow.plans.spread import spread
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -74,6 +75,25 @@ def covered(starts: np.ndarray, length: int) -> tuple[int, list[tuple[int, int]]
     return int((last - first).sum()), list(zip(first.tolist(), last.tolist()))
 
 
+HOT = 200  # a hash in more than 1/HOT of all rows is hot; there are fewer than HOT of them
+
+
+def repeated(rows: DataFrame, hashes: list[str]) -> DataFrame:
+    """The rows whose hashes occur in two classes (``cls``), without the hashes.
+
+    Counting keeps least and greatest class per hash. A hash of boilerplate in a large part of all texts would send all
+    their rows to one task when rows are matched with the repeated hashes: such hashes are told by their counts, and salted.
+    """
+    counts = store(rows.groupBy(*hashes).agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n"))).df
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // HOT
+    twice = counts.where("a <> b").select(*[F.col(h).alias(f"{h}_") for h in hashes], "n")
+    hot = [r[0] for r in twice.where(F.col("n") > least).select(f"{hashes[0]}_").distinct().collect()]  # fewer than HOT
+    also = None
+    for h in hashes[1:]:
+        also = F.col(h) == F.col(f"{h}_")
+    return salted_lookup(rows, hashes[0], twice.drop("n"), f"{hashes[0]}_", hot, "left_semi" if not hot else "inner", also=also).select("cls", "pos")
+
+
 def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int = 150) -> DataFrame:
     """(doc_id, shared_chars, intervals): documents that share a span of ``span`` code points with another document.
 
@@ -82,7 +102,7 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int = 150) -
     such a window, in every text the same one, so only windows of ``span`` around picked windows
     that occur in two texts need to be hashed and counted in full. Windows that are counted in two
     texts are merged into maximal intervals of each text. A text with several ids is shared whole.
-    Counting keeps least and greatest text per hash, so no task gathers the texts of a hash.
+    No task gathers the texts of a hash, see ``repeated``.
     Null texts and texts shorter than the span share nothing; rows without id are left out; rows of
     one id with the same text count once, and an id with several texts has them counted separately and summed.
     """
@@ -107,9 +127,8 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int = 150) -
                 at.append(p)
             yield pd.DataFrame({"h": np.concatenate([*hs, np.zeros(0, np.int64)]), "cls": cls, "pos": np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int32)})
 
-    picks = cut(classes.select("cls", "text").mapInPandas(sketch, "h long, cls binary, pos int"))
-    twice = picks.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h")
-    hits = picks.join(twice, "h", "left_semi").groupBy("cls").agg(F.collect_set("pos").alias("hits"))  # positions in one text
+    picks = store(classes.select("cls", "text").mapInPandas(sketch, "h long, cls binary, pos int")).df
+    hits = repeated(picks, ["h"]).groupBy("cls").agg(F.collect_set("pos").alias("hits"))  # positions in one text
     near = cut(classes.join(hits, "cls").select("cls", "text", "hits"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,9 +150,8 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int = 150) -
                     h1, h2, at = (np.concatenate(x) for x in zip(*cols))
                     yield pd.DataFrame({"h1": h1, "h2": h2, "cls": cls, "pos": at})
 
-    windows = near.mapInPandas(count, "h1 long, h2 long, cls binary, pos int")
-    again = windows.groupBy("h1", "h2").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h1", "h2")
-    starts = windows.join(again, ["h1", "h2"], "left_semi").groupBy("cls").agg(F.collect_set("pos").alias("starts"))
+    windows = store(near.mapInPandas(count, "h1 long, h2 long, cls binary, pos int")).df
+    starts = repeated(windows, ["h1", "h2"]).groupBy("cls").agg(F.collect_set("pos").alias("starts"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -51,7 +51,20 @@ h AS (SELECT w.doc_id, w.i, lead(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i)
 # levenshtein() counts bytes: accented letters are given one-byte stand-ins.
 _BYTES = "translate({}, 'ëïöüéæœáíóúàèñçøåäß', '0123456789ABCDEFGHI')"
 
+_MIX = """
+r AS (SELECT doc_id, min(source) source, CAST(min(coalesce(n_chars, 0)) AS BIGINT) n, CAST('0x' || substr(md5('0:' || doc_id), 1, 15) AS BIGINT) h FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+t AS (SELECT m.source, any_value(target_share) target_share, any_value(max_repeats) max_repeats, count(doc_id) n_docs, CAST(coalesce(sum(n), 0) AS BIGINT) tokens FROM mix_targets m LEFT JOIN r ON r.source = m.source GROUP BY 1),
+s AS (SELECT *, CASE WHEN tokens > 0 AND max_repeats > 0 THEN target_share ELSE 0 END / (SELECT sum(target_share) FROM t WHERE tokens > 0 AND max_repeats > 0) share FROM t),
+b AS (SELECT *, least(CAST(floor(share * (SELECT min(tokens * max_repeats / share) FROM s WHERE share > 0) + 1e-6) AS BIGINT), tokens * max_repeats) budget FROM s),
+picked AS (SELECT doc_id, source, n AS n_tokens, CAST(budget // tokens + CASE WHEN cum <= budget % tokens THEN 1 ELSE 0 END AS BIGINT) copies FROM (
+  SELECT r.*, budget, tokens, sum(n) OVER (PARTITION BY r.source ORDER BY h) cum FROM r JOIN b USING (source) WHERE budget > 0)),
+used AS (SELECT source, CAST(sum(n_tokens * copies) AS BIGINT) used_tokens, max(copies) most_copies FROM picked WHERE copies > 0 GROUP BY 1)
+"""
+
 SQL = {
+    "p9_mix_by_chars": f"WITH {_MIX} SELECT * FROM picked WHERE copies > 0",
+    "p9_shares_by_chars": f"""WITH {_MIX} SELECT b.source, target_share, max_repeats, n_docs, tokens, budget, coalesce(used_tokens, 0) used_tokens, coalesce(most_copies, 0) most_copies,
+      round(coalesce(used_tokens, 0) / (SELECT sum(used_tokens) FROM used), 9) actual_share FROM b LEFT JOIN used USING (source)""",
     "p3_found": """
       WITH n AS (SELECT node_id id, upper(min(seq)) seq, any_value(exp_sample_count) m FROM node WHERE node_id IS NOT NULL GROUP BY 1),
       g AS (SELECT DISTINCT id, substr(seq, i, 8) g FROM (SELECT id, seq, unnest(range(1, length(seq) - 6)) i FROM n WHERE length(seq) >= 8)),

@@ -258,7 +258,9 @@ def brute_spans(docs, span):
     return {d: n for d, n in out.items() if n}
 
 
-def test_spans_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [200, 10**9])
+def test_spans_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdé😀 ") for _ in range(n))
     pool = [text(80) for _ in range(6)]
