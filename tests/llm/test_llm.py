@@ -86,13 +86,34 @@ def test_no_similar_text_of_a_rearranged_family_is_lost(spark):
             s = s[:i] + rng.choice("ACGT") + s[i + 1 :]
         seqs.add(s)
     seqs = sorted(seqs)
-    owner, found = near.anchors(seqs)
-    kept = [set(found[owner == i].tolist()) for i in range(len(seqs))]
     g = [near.grams(s) for s in seqs]
-    want = {(a, b) for a in range(len(seqs)) for b in range(a + 1, len(seqs)) if kept[a] & kept[b] and 10 * len(g[a] & g[b]) >= 6 * len(g[a] | g[b])}
+    want = {(a, b) for a in range(len(seqs)) for b in range(a + 1, len(seqs)) if 10 * len(g[a] & g[b]) >= 6 * len(g[a] | g[b])}
     df = spark.createDataFrame(list(enumerate(seqs)), "key long, seq string")
-    got = {tuple(r) for r in near.similar_classes(df).collect()}
-    assert got == want and max(Counter(found.tolist()).values()) > near.COMMON
+    assert {tuple(r) for r in near.similar_classes(df).collect()} == want and len(want) > 1_000
+
+
+@pytest.mark.parametrize("shard", [2048, 6])
+@pytest.mark.parametrize("similarity,every", [(0.2, 12), (0.3, 16), (0.45, 22), (0.6, 33), (0.8, 70)])
+def test_every_similarity_has_its_anchors(spark, monkeypatch, similarity, every, shard):
+    monkeypatch.setattr(near, "SHARD", shard)
+    rng = random.Random(11)
+    primer, seqs = "".join(rng.choice("ACGT") for _ in range(30)), []
+    for n in range(150):
+        s = list(primer * (n % 3 == 0) + "".join(rng.choice("ACGT") for _ in range(rng.randrange(40, 240))))
+        seqs.append("".join(s))
+        for i in range(rng.randrange(every), len(s), every):
+            s[i] = rng.choice([c for c in "ACGT" if c != s[i]])
+        seqs.append("".join(s))
+    g = [near.grams(s) for s in seqs]
+    want = {(a, b) for a in range(len(seqs)) for b in range(a + 1, len(seqs)) if len(g[a] & g[b]) >= similarity * len(g[a] | g[b])}
+    got = {tuple(r) for r in near.similar_classes(spark.createDataFrame(list(enumerate(seqs)), "key long, seq string"), similarity).collect()}
+    assert len(want) > 50 and got == want
+
+
+def test_similarity_has_bounds(spark):
+    for wrong in (0, -1, 1.1):
+        with pytest.raises(ValueError):
+            near.schemes(wrong)
 
 
 def test_similar_records_on_the_table(spark):
