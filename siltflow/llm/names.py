@@ -19,7 +19,7 @@ from siltflow.plans.spread import spread
 # Words that qualify a name and are not part of it.
 QUALIFIERS = frozenset("cf aff nr sp spp ssp subsp var forma indet juv adult larva voucher isolate strain specimen sample".split())
 _WORD = re.compile(r"[^\W\d_]+")
-FEW = 3  # states of so few keys are followed one by one, of more as arrays
+FEW = 16  # states of so few keys are followed one by one, of more as arrays
 WORD = 63  # letters of a key whose states fit into a machine word
 
 
