@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltflow.plans.lineage import cut
+from siltflow.plans.lineage import cut, read_all, store
+from siltflow.plans.order import numbered
 
 
 def similar_pairs(seqs: DataFrame, identity: float = 0.97, max_edits: int | None = None) -> DataFrame:
@@ -44,22 +45,23 @@ def greedy_clusters(seqs: DataFrame, identity: float = 0.97, order: str = "lengt
     round decides all sequences at one time whose fate is known. Identity is by edits over the longer length. ``seqs`` has seq (unique) and size.
     """
     key = F.struct((-F.col("size") if order == "size" else -F.length("seq")).alias("o"), F.col("seq").alias("s"))
-    ranked = cut(seqs.select("seq", key.alias("rank")))
+    ranked = store(seqs.select("seq", key.alias("rank"))).df
     p = similar_pairs(seqs.select("seq"), identity)
     both = p.select(F.col("a").alias("seq"), F.col("b").alias("near"), "edits").union(p.select(F.col("b"), F.col("a"), "edits"))
     r = ranked.select(F.col("seq").alias("near"), F.col("rank").alias("near_rank"))
-    earlier = cut(both.join(ranked, "seq").join(r, "near").where(F.col("near_rank") < F.col("rank")).select("seq", "near", "edits", "near_rank"))
-    state = cut(ranked.select("seq").join(earlier.select("seq").distinct(), "seq", "left_anti").select("seq", F.lit(None).cast("string").alias("centroid"), F.lit(0).alias("edits")))
-    open_ = cut(ranked.select("seq").join(state, "seq", "left_anti"))
-    while open_.head(1):
-        known = state.select(F.col("seq").alias("near"), F.col("centroid").isNull().alias("is_centroid"))
-        seen = earlier.join(open_, "seq", "left_semi").join(known, "near", "left")
+    earlier = store(both.join(ranked, "seq").join(r, "near").where(F.col("near_rank") < F.col("rank")).select("seq", "near", "edits", "near_rank")).df
+    settled = [store(ranked.select("seq").join(earlier.select("seq").distinct(), "seq", "left_anti").select("seq", F.lit(None).cast("string").alias("centroid"), F.lit(0).alias("edits")))]
+    open_ = store(ranked.select("seq").join(settled[0].df, "seq", "left_anti"))
+    while open_.df.head(1):
+        known = read_all(settled).select(F.col("seq").alias("near"), F.col("centroid").isNull().alias("is_centroid"))
+        seen = earlier.join(open_.df, "seq", "left_semi").join(known, "near", "left")
         best = F.min(F.when(F.col("is_centroid"), F.struct("edits", "near_rank", "near")))
         now = seen.groupBy("seq").agg(F.max(F.col("is_centroid").isNull()).alias("waits"), best.alias("c")).where("not waits")
-        new = cut(now.select("seq", F.col("c.near").alias("centroid"), F.coalesce("c.edits", F.lit(0)).alias("edits")))
-        state = state.union(new)
-        open_ = cut(open_.join(new, "seq", "left_anti"))
-    return state.select("seq", F.coalesce("centroid", "seq").alias("centroid"), "edits")
+        settled.append(store(now.select("seq", F.col("c.near").alias("centroid"), F.coalesce("c.edits", F.lit(0)).alias("edits"))))
+        left = store(open_.df.join(settled[-1].df, "seq", "left_anti"))
+        open_.drop()
+        open_ = left
+    return read_all(settled).select("seq", F.coalesce("centroid", "seq").alias("centroid"), "edits")
 
 
 def cluster_table(long: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -73,18 +75,24 @@ def chimeras(seqs: DataFrame, fold: float = 2.0, min_part: int = 24) -> DataFram
     Approximate next to alignment-based detection: the parts are exact. For each length the most
     frequent holder of a beginning is found by aggregation, no pairs are made. A sequence is chimeric when the longest
     beginning and the longest end found in parents at least ``fold`` times as frequent, each of ``min_part`` letters or more, cover it and no parent holds it whole.
+    What is shuffled for each beginning and end is two hashes and a number, not the sequence. ``seqs`` has seq, unique, and size.
     """
-    sized = seqs.select("seq", "size", F.length("seq").alias("len"))
+    # Numbers in the order of the sequences stand for them: of equally frequent parents the last one counts.
+    sized = store(numbered(seqs.select("seq", "size", F.length("seq").alias("len")), ["seq"], "no")).df
 
     def ends(side: str) -> DataFrame:
         part = F.substring("seq", F.lit(1), F.col("n")) if side == "left" else F.substring("seq", F.col("len") - F.col("n") + 1, F.col("n"))
-        cuts = sized.where(F.col("len") > min_part).withColumn("n", F.explode(F.sequence(F.lit(min_part), F.col("len") - 1))).select("seq", "size", "n", F.xxhash64(part).alias("h"), F.xxhash64(part, F.lit(7)).alias("h2"))
-        top = cuts.groupBy("n", "h", "h2").agg(F.max(F.struct("size", "seq")).alias("top"), F.count("*").alias("k")).where("k > 1").select("n", "h", "h2", "top")
-        return cuts.join(top, ["n", "h", "h2"]).where(F.col("top.size") >= fold * F.col("size")).groupBy("seq").agg(F.max(F.struct("n", F.col("top.seq").alias("parent"))).alias(side))
+        cuts = sized.where(F.col("len") > min_part).withColumn("n", F.explode(F.sequence(F.lit(min_part), F.col("len") - 1))).select("no", "size", "n", F.xxhash64(part).alias("h"), F.xxhash64(part, F.lit(7)).alias("h2"))
+        top = cuts.groupBy("n", "h", "h2").agg(F.max(F.struct("size", "no")).alias("top"), F.count("*").alias("k")).where("k > 1").select("n", "h", "h2", "top")
+        found = cuts.join(top, ["n", "h", "h2"]).where(F.col("top.size") >= fold * F.col("size")).groupBy("no").agg(F.max(F.struct("n", F.col("top.no").alias("parent"))).alias("e"))
+        return found.select("no", F.col("e.n").alias(f"{side}_n"), F.col("e.parent").alias(f"{side}_no"))
 
-    both = sized.join(ends("left"), "seq", "left").join(ends("right"), "seq", "left")
-    chimeric = F.coalesce((F.col("left.n") + F.col("right.n") >= F.col("len")) & (F.col("left.parent") != F.col("right.parent")), F.lit(False))
-    return both.select("seq", "size", F.col("left.parent").alias("left"), F.col("right.parent").alias("right"), chimeric.alias("chimeric"))
+    def parent(side: str) -> DataFrame:
+        return sized.select(F.col("no").alias(f"{side}_no"), F.col("seq").alias(side))
+
+    both = sized.join(ends("left"), "no", "left").join(ends("right"), "no", "left").join(parent("left"), "left_no", "left").join(parent("right"), "right_no", "left")
+    chimeric = F.coalesce((F.col("left_n") + F.col("right_n") >= F.col("len")) & (F.col("left_no") != F.col("right_no")), F.lit(False))
+    return both.select("seq", "size", "left", "right", chimeric.alias("chimeric"))
 
 
 def search(queries: DataFrame, db: DataFrame, seed: int = 28, max_target_seqs: int = 10, perc_identity: float = 90.0, qcov: float = 90.0) -> DataFrame:

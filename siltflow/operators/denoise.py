@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,17 @@ from pyspark.sql import functions as F
 def neighbour_pairs(obs: DataFrame, max_diff: int = 1, max_indel: int = 0) -> DataFrame:
     """(exp, sample, a, b, cnt_a, cnt_b) with a < b: sequences of one (exp, sample) within the allowed differences.
 
-    Substitutions: texts of one length that differ in at most ``max_diff`` places have one of
-    max_diff + 1 equal pieces in common, so pieces are joined by equality and the pairs verified;
-    letters other than ACGT are one letter, case is ignored. Indels: the longer text less a few letters is the
-    shorter; one indel joins by all single deletions, more by length. ``obs`` has seq, exp, sample, cnt.
+    Substitutions: of texts of one length that differ in at most ``max_diff`` places, cut into more pieces than that, all but ``max_diff`` pieces are equal,
+    so every choice of that many pieces is joined by equality and the pairs verified. One choice is most of the text (for one
+    difference three quarters), so that conserved parts alone bring no texts together; letters other than ACGT are one letter, case is ignored. Indels: the longer text less a few letters is the
+    shorter; one indel joins by all single deletions, more by pieces of the shorter text. ``obs`` has seq, exp, sample, cnt.
     """
     base = obs.where((F.col("cnt") > 0) & F.col("seq").isNotNull()).select("exp", "sample", "seq", "cnt", F.regexp_replace(F.upper("seq"), "[^ACGT]", "N").alias("s"), F.length("seq").alias("len"))
-    pieces = max_diff + 1
-    cuts = [F.struct(F.lit(i).alias("no"), F.expr(f"substring(s, int(len * {i} / {pieces}) + 1, int(len * {i + 1} / {pieces}) - int(len * {i} / {pieces}))").alias("piece")) for i in range(pieces)]
-    keyed = base.withColumn("k", F.explode(F.array(*cuts)))
+    pieces = {0: 1, 1: 4, 2: 5}.get(max_diff, max_diff + 2)
+    piece = [F.expr(f"substring(s, int(len * {i} / {pieces}) + 1, int(len * {i + 1} / {pieces}) - int(len * {i} / {pieces}))") for i in range(pieces)]
+    # Hashes stand for the choices: equal ones only make more candidates.
+    cuts = [F.xxhash64(F.lit(n), *[piece[i] for i in kept]) for n, kept in enumerate(combinations(range(pieces), pieces - max_diff))]
+    keyed = base.withColumn("k", F.explode(F.array_distinct(F.array(*cuts))))
     names = ["exp", "sample", "len", "k"]
     left = keyed.select(*names, F.col("seq").alias("a"), F.col("cnt").alias("cnt_a"), F.col("s").alias("sa"))
     right = keyed.select(*names, F.col("seq").alias("b"), F.col("cnt").alias("cnt_b"), F.col("s").alias("sb"))
@@ -30,9 +34,15 @@ def neighbour_pairs(obs: DataFrame, max_diff: int = 1, max_indel: int = 0) -> Da
         shorter = base.select("exp", "sample", F.col("seq").alias("k"), F.col("seq").alias("y"), F.col("cnt").alias("cnt_y"))
         indel = longer.join(shorter, ["exp", "sample", "k"])
     elif max_indel > 1:
-        longer = base.select("exp", "sample", F.col("seq").alias("x"), F.col("cnt").alias("cnt_x"), F.explode(F.sequence(F.col("len") - max_indel, F.col("len") - 1)).alias("len"))
-        shorter = base.select("exp", "sample", F.col("seq").alias("y"), F.col("cnt").alias("cnt_y"), "len")
-        indel = longer.join(shorter, ["exp", "sample", "len"]).where(F.expr(f"levenshtein(x, y, {max_indel}) = length(x) - length(y)"))
+        # Of max_indel + 1 pieces of the shorter text one stands whole in the longer one, at most as much later as that is longer.
+        begin = lambda no: F.floor(F.col("k_len") * no / (max_indel + 1)).cast("int")
+        start, size = begin(F.col("no")) + 1, begin(F.col("no") + 1) - begin(F.col("no"))
+        no = F.explode(F.sequence(F.lit(0), F.lit(max_indel)))
+        longer = base.where("len > 1").withColumn("k_len", F.explode(F.sequence(F.greatest(F.col("len") - max_indel, F.lit(1)), F.col("len") - 1))).withColumn("no", no).withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k_len"))))
+        longer = longer.select("exp", "sample", F.xxhash64("k_len", "no", F.substring("seq", start + F.col("shift"), size)).alias("k"), F.col("seq").alias("x"), F.col("cnt").alias("cnt_x")).distinct()
+        shorter = base.withColumn("k_len", F.col("len")).withColumn("no", no).select("exp", "sample", F.xxhash64("k_len", "no", F.substring("seq", start, size)).alias("k"), F.col("seq").alias("y"), F.col("cnt").alias("cnt_y"))
+        apart = F.length("x") - F.length("y")
+        indel = longer.join(shorter, ["exp", "sample", "k"]).where(apart.between(1, max_indel)).drop("k").distinct().where(F.expr(f"levenshtein(x, y, {max_indel}) = length(x) - length(y)"))
     if max_indel:
         swap = F.col("x") > F.col("y")
         pick = lambda p, q: F.when(swap, F.col(p)).otherwise(F.col(q))

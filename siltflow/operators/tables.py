@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltflow.operators import nested
+from siltflow.plans.order import numbered
 
 METHODS = ("maximum", "mean", "threshold", "both_threshold")
 
@@ -48,12 +49,9 @@ def fasta_to_table(df: DataFrame, key: str, seq: str, header: str) -> DataFrame:
 
 
 def sequence_ids(seqs: DataFrame) -> DataFrame:
-    """(SEQ, SEQ_ID): ordered numbers without a single-task window: ranges are counted, then numbered side by side."""
-    spark = seqs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = seqs.where(F.col("SEQ").isNotNull()).repartitionByRange(n, "SEQ").sortWithinPartitions("SEQ")
-    ids = ranged.rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(ids.map(lambda x: (x[0], f"SEQ_{x[1] + 1:07d}")), "SEQ string, SEQ_ID string")
+    """(SEQ, SEQ_ID): distinct sequences with ordered numbers. Null is left out."""
+    ids = numbered(seqs.select("SEQ").where(F.col("SEQ").isNotNull()), ["SEQ"], "n")
+    return ids.select("SEQ", F.concat(F.lit("SEQ_"), F.when(F.col("n") < 10_000_000, F.lpad(F.col("n").cast("string"), 7, "0")).otherwise(F.col("n").cast("string"))).alias("SEQ_ID"))
 
 
 def decontaminate(cells: DataFrame, control: DataFrame, method: str = "maximum", blanks: dict[str, str] | None = None, threshold: float = 10) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltflow.operators import hierarchy
+from siltflow.plans.order import numbered
 
 # The main ranks from the highest down.
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
@@ -65,9 +66,12 @@ def find_lca(hits: DataFrame, order: list[str], query: str = "qseqid", ranks: li
     if keep_unresolved:
         one = best.select(F.col("_q").alias(query)).join(one, query, "left")
     deepest = F.coalesce(*[F.when(F.col(r).isNotNull(), F.lit(r)) for r in reversed(ranks)])
-    one = one.withColumn("rank", deepest).withColumn("_n", F.coalesce(*[F.col(r) for r in reversed(ranks)])).withColumn("_k", F.row_number().over(Window.partitionBy(*ranks).orderBy(query)))
-    name = F.when(F.col("rank").isNull() | (F.col("rank") == ranks[-1]), F.col("_n")).otherwise(F.concat("_n", F.lit(" sp. "), F.col("_k").cast("string")))
-    return one.withColumn("scientific_name", name).drop("_n", "_k")
+    one = one.withColumn("rank", deepest).withColumn("_n", F.coalesce(*[F.col(r) for r in reversed(ranks)]))
+    named = F.coalesce(F.col("rank") == ranks[-1], F.lit(True))
+    # A lineage of high rank may be that of a large part of all queries: its numbers are not counted in one task.
+    counted = numbered(one.where(~named), [query], "_k", ranks)
+    name = F.when(F.col("_k").isNull(), F.col("_n")).otherwise(F.concat("_n", F.lit(" sp. "), F.col("_k").cast("string")))
+    return one.where(named).withColumn("_k", F.lit(None).cast("long")).unionByName(counted).withColumn("scientific_name", name).drop("_n", "_k")
 
 
 def dada_headers(lineage: DataFrame, ranks: list[str] = RANKS) -> DataFrame:

@@ -277,9 +277,9 @@ def streaming_dereplicate(spark: SparkSession, d: str) -> DataFrame:
     reader = spark.readStream.schema(schema)
     source = reader.option("pathGlobFilter", "documents.parquet").parquet(d) if alone else reader.parquet(f"{d}/documents.parquet")
     reads = source.select(F.col("doc_id").alias("rec_no"), iupac.dna(F.col("text")).alias("seq"), F.col("lang").alias("exp"), F.col("source").alias("sample"))
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    stream.start(stream.running_counts(reads), name, "complete", f"{ensure_checkpoint_dir(spark)}/{name}").awaitTermination()
-    return spark.table(name)
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream.start(stream.running_counts(reads), f"{folder}/counts", f"{folder}/progress").awaitTermination()
+    return stream.latest(spark, f"{folder}/counts", "cnt")
 
 
 _KERNELS = (find_primer_binding_sites, in_silico, in_silico_strict, pairend, demultiplex, similar_pairs, cluster_table, chimeras, search, streaming_dereplicate)

@@ -17,7 +17,7 @@ def read_drops(spark: SparkSession, folder: str, schema: str = SCHEMA, files_a_b
 
 
 def running_counts(reads: DataFrame) -> DataFrame:
-    """Running (seq, exp, sample, cnt) over the stream: state holds one counter per key. Write in update or complete mode."""
+    """Running (seq, exp, sample, cnt) over the stream: state holds one counter per key. Write in update mode."""
     return dereplicate(reads)
 
 
@@ -27,6 +27,20 @@ def counts_by_window(reads: DataFrame, time: str = "loaded_at", width: str = "1
     return timed.groupBy(F.window(time, width).alias("w"), "exp", "sample").agg(F.count("*").alias("reads")).select(F.col("w.start").alias("window_start"), "exp", "sample", "reads")
 
 
-def start(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Run over what is there and stop, with progress kept in ``checkpoint``, so that a restart counts nothing twice."""
-    return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Run over what is there and stop, with progress kept in ``checkpoint``, so that a restart counts nothing twice.
+
+    Every batch writes the counts that it changed to a folder of its own below ``out``, over what a failed try of it has left. Nothing is gathered at the driver.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str, value: str) -> DataFrame:
+    """The counts as of the last batch: of every key the one written last."""
+    df = spark.read.parquet(out)
+    keys = [c for c in df.columns if c not in (value, "batch")]
+    return df.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))

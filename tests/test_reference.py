@@ -8,6 +8,7 @@ import pytest
 from siltflow.functions import iupac
 from siltflow.functions.iupac import revcomp
 from siltflow.operators import cluster, colmatch, denoise, derep, diversity, pairend, primers, tables, taxonomy
+from siltflow.plans.order import numbered
 from siltflow.sources import external, files
 from siltflow.streaming import derep as stream
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def test_denoise_known(spark):
     assert {r.seq: r.status for r in denoise.denoise(obs(spark, {"ACGTACGT": 100, "ACGTACGA": 5}), min_retained=0).collect()}["ACGTACGA"] == "internal"
 
 
-@pytest.mark.parametrize("diff,indel", [(1, 0), (2, 1), (0, 2)])
+@pytest.mark.parametrize("diff,indel", [(1, 0), (2, 1), (0, 2), (3, 3)])
 def test_neighbours_against_brute_force(spark, diff, indel):
     rng = random.Random(7)
     seqs = list({"".join(rng.choice("ACN") for _ in range(rng.randrange(3, 9))) for _ in range(120)})
@@ -312,7 +313,20 @@ def test_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "rec_no long, seq string, exp string, sample string, t string").withColumn("loaded_at", F.to_timestamp("t")).drop("t")
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     src = stream.read_drops(spark, str(tmp_path / "in"), files_a_batch=1)
-    stream.start(stream.running_counts(src), "counts", "complete", str(tmp_path / "c1")).awaitTermination()
-    assert {tuple(r) for r in spark.table("counts").collect()} == {(c, "e", "s", 5) for c in "ACGT"}
-    stream.start(stream.counts_by_window(src), "windows", "update", str(tmp_path / "c2")).awaitTermination()
-    assert spark.table("windows").count() >= 3
+    stream.start(stream.running_counts(src), str(tmp_path / "counts"), str(tmp_path / "c1")).awaitTermination()
+    assert {tuple(r) for r in stream.latest(spark, str(tmp_path / "counts"), "cnt").collect()} == {(c, "e", "s", 5) for c in "ACGT"}
+    stream.start(stream.counts_by_window(src, late="30 days"), str(tmp_path / "windows"), str(tmp_path / "c2")).awaitTermination()
+    assert sum(r.reads for r in stream.latest(spark, str(tmp_path / "windows"), "reads").collect()) == 20
+    df.limit(4).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.start(stream.running_counts(src), str(tmp_path / "counts"), str(tmp_path / "c1")).awaitTermination()
+    assert sum(r.cnt for r in stream.latest(spark, str(tmp_path / "counts"), "cnt").collect()) == 24
+
+
+def test_numbers_in_order(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "x"]), i) for i in rng.sample(range(10_000), 600)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    want = {(k, v): sum(1 for a, b in rows if a == k and b <= v) for k, v in rows}
+    assert {(r.k, r.v): r.no for r in numbered(df, ["v"], "no", ["k"]).collect()} == want
+    assert [r.no for r in numbered(df, ["v"], "no").orderBy("v").collect()] == list(range(1, 601))
+    assert numbered(df.limit(0), ["v"], "no").count() == 0
