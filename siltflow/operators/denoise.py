@@ -71,3 +71,20 @@ def denoise(obs: DataFrame, threshold: float = 0.05, max_diff: int = 1, max_inde
         done = done.where("status <> 'internal'")
     size = done.groupBy("seq").agg(F.sum("cnt").alias("size")).where(F.col("size") >= min_retained)
     return done.join(size, "seq")
+
+
+def denoised_headers(done: DataFrame, obs: DataFrame, prefix: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """(id, seq): one record per sequence kept, its header with the size kept and the denoise block as JSON.
+
+    ``done`` is the result of ``denoise``, ``obs`` its input, whose counts make total_count; ``prefix`` has seq and prefix.
+    """
+    total = obs.where(F.col("seq").isNotNull()).groupBy("seq").agg(F.sum("cnt").alias("total_count"))
+    many = lambda s: F.count_if(F.col("status") == s)
+    summary = done.groupBy("seq").agg(F.first("size").alias("size"), *[many(s).alias(s) for s in ("head", "internal", "singleton")])
+    cell = F.struct("sample", F.struct(F.col("cnt").alias("count"), "status").alias("v"))
+    per_exp = done.groupBy("seq", "exp").agg(F.map_from_entries(F.array_sort(F.collect_list(cell))).alias("m"))
+    by = per_exp.groupBy("seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("exp", F.struct(F.map_entries("m").alias("e")).alias("v"))))).alias("x"))
+    by = by.select("seq", F.transform_values("x", lambda _, v: F.map_from_entries(v["e"])).alias("by_sample"))
+    block = F.struct(F.lit(round(threshold, 3)).alias("threshold"), "total_count", F.struct("head", "internal", "singleton").alias("summary"), "by_sample")
+    full = summary.join(total, "seq").join(by, "seq").join(prefix, "seq")
+    return full.select(F.concat(F.col("prefix"), F.lit(";size="), F.col("size").cast("string"), F.lit(";"), F.to_json(F.struct(block.alias("denoise")))).alias("id"), "seq")

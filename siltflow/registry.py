@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltflow import queries_core, queries_ref, sql_core, sql_ref
+from siltflow import queries_core, queries_files, queries_ref, sql_core, sql_files, sql_ref
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return queries_core.QUERIES | queries_ref.QUERIES
+    return queries_core.QUERIES | queries_ref.QUERIES | queries_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql_core.SQL | sql_ref.SQL
+    return sql_core.SQL | sql_ref.SQL | sql_files.SQL

@@ -5,10 +5,14 @@ from __future__ import annotations
 import gzip
 import os
 import tarfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltflow.plans.lineage import store
+
 # Columns of the exchange formats.
 BLAST = "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double, qcovs double, staxids string"
 UC = "type string, cluster int, c_length int, similarity string, orientation string, N1 string, N2 string, N3 string, query_ID string, centroid_ID string"
@@ -25,10 +29,39 @@ def sniff(path: str) -> tuple[bool, str]:
     return packed, "fastq" if first.startswith("@") else "fasta"
 
 
+def sniff_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(path, packed, kind) of every file that is not empty at a path of any file system; only the first bytes of each are read."""
+    first = spark.read.format("binaryFile").load(os.path.expanduser(path)).where("length > 0").select("path")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *sniff(p.removeprefix("file:"))) for p in b.path], columns=["path", "packed", "kind"])
+
+    if all(r[0].startswith("file:") for r in first.limit(1).collect()):
+        return first.mapInPandas(look, "path string, packed boolean, kind string")
+    head = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.substring(F.hex("content"), 1, 4).alias("m"))
+    line = spark.read.text(path).select("_metadata.file_path", "value").where("trim(value) <> ''").groupBy("file_path").agg(F.first("value").alias("v"))
+    return head.join(line, F.col("path") == F.col("file_path")).select("path", (F.col("m") == "1F8B").alias("packed"), F.when(F.col("v").startswith("@"), "fastq").otherwise("fasta").alias("kind"))
+
+
+MOST_BLOCKS = 100_000  # file blocks whose offsets are broadcast; more are joined
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) in file order, from 0. Partitions follow offsets, so they only have to be counted."""
-    lines = spark.read.text(os.path.expanduser(path)).rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(lines.map(lambda x: (x[1], x[0].rstrip("\r"))), "line_no long, line string")
+    """(line_no, line) in the order of files and lines, from 0.
+
+    Lines are numbered within the blocks that Spark reads, and a table of one row per block tells how many come before. Lines never
+    leave the JVM and are not shuffled.
+    """
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(os.path.expanduser(path)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), in_task.alias("at"))
+    blocks = store(lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))).df
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = blocks.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if blocks.count() <= MOST_BLOCKS:
+        offsets = F.broadcast(offsets)
+    known = lines.join(offsets, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
+    return known.select((F.col("before") + F.col("at") - F.col("first")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +84,10 @@ def fasta_lengths(fasta: DataFrame) -> DataFrame:
     return fasta.select("id", F.length("seq").alias("seqlength"))
 
 
-def write_fasta(df: DataFrame, path: str, compress: bool = False) -> None:
-    """Header and sequence lines; ``compress``, or a path that ends in .gz, writes gzip parts."""
-    line = F.concat(F.lit(">"), F.regexp_replace("id", "^>", ""), F.lit("\n"), "seq")
+def write_fasta(df: DataFrame, path: str, compress: bool = False, width: int | None = None) -> None:
+    """Header and sequence lines, the latter of at most ``width`` letters; ``compress``, or a path that ends in .gz, writes gzip parts."""
+    seq = F.col("seq") if width is None else F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    line = F.concat(F.lit(">"), F.regexp_replace("id", "^>", ""), F.lit("\n"), seq)
     df.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip" if compress or path.lower().endswith(".gz") else "none")
 
 
@@ -137,6 +171,15 @@ def read_uc(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.regexp_replace(c, ";size=.*", "") for c in ("query_ID", "centroid_ID")})
 
 
+def write_listing(files: DataFrame, path: str) -> None:
+    """The table of archives as CSV, for a later download."""
+    files.write.mode("overwrite").csv(path, header=True)
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema="file_name string, date string, size_gb double")
+
+
 def listing(pages: DataFrame, col: str) -> DataFrame:
     """(file_name, date, size_gb) of the archives in an HTML directory listing, one line a row."""
     pat = r'href="([^"]+)">[^<]*</a>\s+(\S+ \S+)\s+([0-9.]+)([KMG]?)'
