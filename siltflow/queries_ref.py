@@ -227,10 +227,10 @@ def demultiplex(spark: SparkSession, d: str) -> DataFrame:
     return primers.demultiplex(reads, table, primer_mismatch=3).select("rec_no", "identified", "sample", F.when(F.col("identified"), F.col("seq")).alias("insert"), "fwd_mismatch", "rev_mismatch")
 
 
-def _rarefied(spark: SparkSession, d: str, q: int, endpoint: int = 150_000) -> DataFrame:
+def _rarefied(spark: SparkSession, d: str, q: int) -> DataFrame:
     from siltflow.operators import diversity
 
-    out = diversity.rarefaction(latest_cells(spark, d), q=q, endpoint=endpoint)
+    out = diversity.rarefaction(latest_cells(spark, d), q=q)
     return out.withColumns({"qD": F.round("qD", 6), "SC": F.round("SC", 6)})
 
 
@@ -284,5 +284,13 @@ def streaming_dereplicate(spark: SparkSession, d: str) -> DataFrame:
 
 _KERNELS = (find_primer_binding_sites, in_silico, in_silico_strict, pairend, demultiplex, similar_pairs, cluster_table, chimeras, search, streaming_dereplicate)
 QUERIES |= {f.__name__: f for f in _KERNELS}
-QUERIES |= {f"rarefaction_q{q}": (lambda s, d, q=q: _rarefied(s, d, q, 20_000)) for q in (0, 2)}  # the endpoint of their SQL
-QUERIES |= {name: (lambda s, d, q=q: _rarefied(s, d, q)) for name, q in (("rarefaction_q0_whole", 0), ("rarefaction_q1", 1), ("rarefaction_q2_whole", 2))}
+QUERIES |= {f"rarefaction_q{q}": (lambda s, d, q=q: _rarefied(s, d, q)) for q in (0, 1, 2)}
+
+
+def rarefaction_intervals(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import diversity
+
+    return diversity.rarefaction(latest_cells(spark, d), q=0, nboot=20)
+
+
+QUERIES["rarefaction_intervals"] = rarefaction_intervals

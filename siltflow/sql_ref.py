@@ -122,7 +122,7 @@ def _rc(s: str) -> str:
 
 _RARE = f"""WITH {_CELLS}, ab AS (SELECT tag, n x, count(*) f FROM cells WHERE n > 0 GROUP BY 1, 2), tot AS (SELECT tag, CAST(sum(x * f) AS BIGINT) n, sum(f) s, coalesce(sum(f) FILTER (WHERE x = 1), 0) f1, coalesce(sum(f) FILTER (WHERE x = 2), 0) f2 FROM ab GROUP BY 1),
 par AS (SELECT *, (n - 1) / n * CASE WHEN f2 > 0 THEN f1 * f1 / (2 * f2) ELSE f1 * (f1 - 1) / 2 END f0, CASE WHEN f2 > 0 THEN (n - 1) * f1 / ((n - 1) * f1 + 2 * f2) WHEN f1 > 1 THEN (n - 1) * (f1 - 1) / ((n - 1) * (f1 - 1) + 2) ELSE 0 END a FROM tot),
-kn AS (SELECT DISTINCT tag, CAST(floor(m) AS BIGINT) m FROM (SELECT tag, CASE WHEN i = 19 THEN least(n, 20000)::DOUBLE ELSE 1 + i * ((least(n, 20000) - 1) / 19.0::DOUBLE) END m FROM par, range(20) t(i) UNION ALL SELECT tag, CASE WHEN i = 19 THEN 20000.0::DOUBLE ELSE n + i * ((20000 - n) / 19.0::DOUBLE) END FROM par, range(20) t(i) WHERE n < 20000)),
+kn AS (SELECT DISTINCT tag, CAST(floor(m) AS BIGINT) m FROM (SELECT tag, CASE WHEN i = 19 THEN least(n, 150000)::DOUBLE ELSE 1 + i * ((least(n, 150000) - 1) / 19.0::DOUBLE) END m FROM par, range(20) t(i) UNION ALL SELECT tag, CASE WHEN i = 19 THEN 150000.0::DOUBLE ELSE n + i * ((150000 - n) / 19.0::DOUBLE) END FROM par, range(20) t(i) WHERE n < 150000)),
 inn AS (SELECT kn.tag, m, sum(f * (1 - coalesce(list_product(list_transform(range(CAST(x AS BIGINT)), lambda j: greatest(n - m - j, 0) / (n - j))), 1))) d, 1 - sum(f * x / n * coalesce(list_product(list_transform(range(CAST(x AS BIGINT) - 1), lambda j: greatest(n - 1 - m - j, 0) / (n - 1 - j))), 1)) c
   FROM kn JOIN par USING (tag) JOIN ab USING (tag) WHERE m < n GROUP BY 1, 2)
 SELECT kn.tag, kn.m, CASE WHEN kn.m < n THEN 'Rarefaction' WHEN kn.m = n THEN 'Observed' ELSE 'Extrapolation' END AS method,

@@ -195,12 +195,40 @@ def test_rarefaction_reaches_the_observed_size(spark):
     d = "/root/testdata/sf0.001"
     size = {r.tag: r.n for r in queries_ref.latest_cells(spark, d).where("cnt > 0").groupBy("tag").agg(F.sum("cnt").alias("n")).collect()}
     assert max(size.values()) > 500
-    for name in ("rarefaction_q0_whole", "rarefaction_q1", "rarefaction_q2_whole"):
+    for name in ("rarefaction_q0", "rarefaction_q1", "rarefaction_q2"):
         rows = queries_ref.QUERIES[name](spark, d).collect()
         assert {r.tag: r.m for r in rows if r.method == "Observed"} == {t: n for t, n in size.items() if n <= 150_000}
         assert {t: max(r.m for r in rows if r.tag == t) for t in size} == {t: 150_000 for t in size}
 
 
+def test_chance_of_none_far_out():
+    from decimal import Decimal, getcontext
+
+    from siltflow.functions.numbers import chance_of_none, harmonic
+
+    getcontext().prec = 40
+    for n, x, m in ((20_000, 9_000, 20_000), (20_000, 9_000, 1), (20_000, 9_000, 30), (20_000, 5_000, 7_000), (20_000, 19_990, 1), (50_000, 4_097, 2_000), (20_000, 15_000, 6_000)):
+        want = Decimal(1)
+        for j in range(m):
+            want *= Decimal(max(n - x - j, 0)) / Decimal(n - j)
+        assert chance_of_none(n, np.array([x]), m)[0] == pytest.approx(float(want), rel=1e-9, abs=1e-300)
+    assert harmonic(np.array([0, 1, 5, 31, 32, 100])) == pytest.approx([sum(1 / i for i in range(1, k + 1)) for k in (0, 1, 5, 31, 32, 100)], rel=1e-14)
+
+
+def test_intervals(spark):
+    rng = random.Random(3)
+    rows = [(t, rng.randrange(1, 40)) for t in "ab" for _ in range(80)] + [("c", 5), ("d", None)]
+    df = spark.createDataFrame(rows, "tag string, cnt long")
+    got = diversity.rarefaction(df, q=0, endpoint=5_000, knots=12, nboot=30).toPandas()
+    again = diversity.rarefaction(df, q=0, endpoint=5_000, knots=12, nboot=30).toPandas()
+    key = ["tag", "based", "m"]
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    assert set(got.tag) == {"a", "b", "c"} and set(got.based) == {"size", "coverage"}
+    assert ((got.qD_LCL <= got.qD) & (got.qD <= got.qD_UCL)).all() and got[got.based == "coverage"].SC_LCL.isna().all()
+    seen = got[(got.method == "Observed") & (got.based == "size") & (got.tag == "a")].iloc[0]
+    assert seen.qD == 80 and 0 < seen.qD_UCL - seen.qD < 20
+
+
 def test_drawn_entropy():
     a = diversity.Abundances(np.array([1, 2, 5, 40]), np.array([3, 2, 1, 1]))
     for m in (1, 7, 30, a.n - 1):
