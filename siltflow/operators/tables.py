@@ -32,7 +32,7 @@ def fasta_to_table(df: DataFrame, key: str, seq: str, header: str) -> DataFrame:
     """Long table (experiment, ID, SEQ, sample, count, status, total_count, SEQ_ID) of sequence records with JSON headers.
 
     The denoise block counts where there is one, else the stat block (without statuses). total_count is the sum by
-    sequence and experiment, SEQ_ID numbers the distinct sequences in order. Records without readable JSON have no rows.
+    sequence and experiment, SEQ_ID numbers the distinct sequences of the table in order. Records without readable JSON have no rows.
     """
     rows = nested.shred(df, key, header, nested.HEADER_KEYED, nested.HEADER_NAMES, nested.header_json).where(
         F.col("relation").isin("denoise/by_sample/*", "denoise/by_sample/samples") | ((F.col("relation") == "stat/exp/samples") & ~F.array_contains("blocks", "denoise"))
@@ -40,10 +40,10 @@ def fasta_to_table(df: DataFrame, key: str, seq: str, header: str) -> DataFrame:
     cells = rows.select(
         "rec_id", F.element_at("above", -1).alias("experiment"), F.col("key").alias("sample"), F.expr("try_cast(coalesce(cols['count'], cols['n'], cols['value']) as bigint)").alias("count"), F.expr("cols['status']").alias("status")
     )
-    ident = F.regexp_replace(F.regexp_replace(header, "^>", ""), ";size.*$", "")
+    ident = F.regexp_replace(F.regexp_replace(header, "^>", ""), "(?s);size.*$", "")
     recs = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("rec_id")).agg(F.min(F.struct(ident.alias("ID"), F.col(seq).alias("SEQ"))).alias("r")).select("rec_id", "r.ID", "r.SEQ")
     long = cells.join(recs, "rec_id")
-    numbered = sequence_ids(recs.select("SEQ").distinct())
+    numbered = sequence_ids(long.select("SEQ").distinct())
     total = long.groupBy("SEQ", "experiment").agg(F.sum("count").alias("total_count"))
     return long.join(total, ["SEQ", "experiment"]).join(numbered, "SEQ").select("experiment", "ID", "SEQ", "sample", "count", "status", "total_count", "SEQ_ID")
 

@@ -41,6 +41,30 @@ ent AS ({_entries("node", "node_id", "exp_sample_count")} UNION ALL {_entries("u
 tot AS (SELECT tbl, exp, s.key AS sample, count(*) n_entries, CAST(sum(s.value) AS BIGINT) total_count, max(s.value) max_count FROM ent GROUP BY 1, 2, 3)
 """
 
+# A text that is cut off has no beginning that is valid JSON; of one that goes on after its end exactly one is.
+_NESTED = r"""
+texts AS (
+  SELECT 'node' tbl, CAST(node_id AS VARCHAR) rec, min(raw_header) raw FROM node WHERE node_id IS NOT NULL GROUP BY node_id
+  UNION ALL SELECT 'unique_info', CAST(uniq_id AS VARCHAR), min(pairend_json) FROM unique_info WHERE uniq_id IS NOT NULL GROUP BY uniq_id),
+body AS (SELECT tbl, rec, trim(CASE WHEN tbl = 'node' THEN substr(raw, strpos(raw, '{')) WHEN json_valid(raw) AND json_type(raw) = 'VARCHAR' THEN json_extract_string(raw, '$') ELSE raw END, E' \n\t\r') t FROM texts WHERE contains(raw, '{')),
+ends AS (SELECT tbl, rec, t, unnest(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) IN ('}', ']'))) p FROM body),
+whole AS (SELECT tbl, rec, arg_max(js, length(js)) v FROM (SELECT tbl, rec, CASE WHEN t[1] = '{' THEN substr(t, 1, p) ELSE '{' || substr(t, 1, p) || '}' END js FROM ends) WHERE json_valid(js) GROUP BY 1, 2),
+blocks AS (SELECT rec, json_exists(v, '$.denoise') d, json_extract(v, CASE WHEN json_exists(v, '$.denoise') THEN '$.denoise.by_sample' ELSE '$.stat.exp' END) e FROM whole WHERE tbl = 'node'),
+exps AS (
+  SELECT rec, d, k AS exp, CASE WHEN d THEN json_extract(e, '$."' || k || '"') ELSE json_extract(e, '$."' || k || '".samples') END s FROM (SELECT rec, d, e, unnest(json_keys(e)) k FROM blocks WHERE json_type(e) = 'OBJECT')
+  UNION ALL SELECT rec, d, coalesce(json_extract_string(x, '$.exp'), json_extract_string(x, '$.name')), json_extract(x, '$.samples') FROM (SELECT rec, d, unnest(CAST(e AS JSON[])) x FROM blocks WHERE json_type(e) = 'ARRAY')),
+cells6 AS (
+  SELECT rec, exp, k AS sample, json_extract(s, '$."' || k || '"') y FROM (SELECT rec, exp, s, unnest(json_keys(s)) k FROM exps WHERE json_type(s) = 'OBJECT')
+  UNION ALL SELECT rec, exp, json_extract_string(y, '$.sample'), y FROM (SELECT rec, exp, unnest(CAST(s AS JSON[])) y FROM exps WHERE json_type(s) = 'ARRAY')),
+counts6 AS (SELECT rec, exp, sample, CAST(try_cast(CASE WHEN json_type(y) = 'OBJECT' THEN coalesce(json_extract_string(y, '$.count'), json_extract_string(y, '$.n')) ELSE json_extract_string(y, '$') END AS DECIMAL(38, 6)) AS BIGINT) n,
+  CASE WHEN json_type(y) = 'OBJECT' THEN json_extract_string(y, '$.status') END status FROM cells6),
+pe AS (SELECT rec, json_extract(v, '$.pairend') e FROM whole WHERE tbl = 'unique_info'),
+lanes AS (
+  SELECT rec, json_extract_string(x, '$.lane') lane, json_extract(x, '$.pairs') o FROM (SELECT rec, unnest(CAST(json_extract(e, '$.lanes') AS JSON[])) x FROM pe WHERE json_type(e) = 'OBJECT' AND json_exists(e, '$.lanes'))
+  UNION ALL SELECT rec, '', CASE WHEN json_type(e) = 'ARRAY' THEN e ELSE json_array(e) END FROM pe WHERE json_type(e) = 'ARRAY' OR NOT json_exists(e, '$.lanes')),
+pairs6 AS (SELECT rec, lane, unnest(range(1, len(CAST(o AS JSON[])) + 1)) pos, unnest(CAST(o AS JSON[])) x FROM lanes)
+"""
+
 SQL = {
     "p1_found": f"WITH RECURSIVE {_FOREST} SELECT tbl, node_key, root_key, depth FROM ({_ALL})",
     "p1_paths": f"WITH RECURSIVE {_FOREST} SELECT tbl, node_key, depth, path FROM ({_ALL})",
@@ -52,6 +76,10 @@ SQL = {
     "p5_wide": f"""SELECT experiment, id, n_samples, total_count, n_head, COLUMNS('^(.*)_c$') AS 'count_\\1', COLUMNS('^(.*)_s$') AS 'status_\\1' FROM (
       PIVOT (WITH {_CELLS} SELECT p.*, tag, n, status FROM per_entity p LEFT JOIN cells c ON c.experiment IS NOT DISTINCT FROM p.experiment AND c.id IS NOT DISTINCT FROM p.id)
       ON tag USING max(n) AS c, max(status) AS s GROUP BY experiment, id, n_samples, total_count, n_head)""",
+    "p6_found": f"""WITH {_NESTED} SELECT 'node' tbl, CAST(rec AS BIGINT) rec_id, exp parent_key, sample child_key, n AS val FROM counts6
+      UNION SELECT 'unique_info', CAST(rec AS BIGINT), lane, CAST(pos AS VARCHAR), CAST(try_cast(json_extract_string(x, '$.overlap') AS DECIMAL(38, 6)) AS BIGINT) FROM pairs6 WHERE json_extract_string(x, '$.overlap') IS NOT NULL""",
+    "p6_report": f"""WITH {_NESTED}, r AS (SELECT texts.tbl, raw IS NULL OR trim(raw) = '' blank, v IS NOT NULL AS good FROM texts LEFT JOIN whole USING (tbl, rec))
+      SELECT tbl, count(*) records, count(*) FILTER (WHERE blank) blank, count(*) FILTER (WHERE NOT blank AND NOT good) broken, count(*) FILTER (WHERE good) AS "read" FROM r GROUP BY 1""",
     "p7_totals": f"WITH {_TOTALS} SELECT tbl, exp, sample, n_entries, total_count, max_count FROM tot",
     "p7_found": f"WITH {_TOTALS} SELECT tbl, exp, sample FROM tot QUALIFY n_entries * 100 > 3 * sum(n_entries) OVER (PARTITION BY tbl)",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siltflow.operators.taxonomy import RANKS
-from siltflow.sql_core import _CELLS, _FOREST
+from siltflow.sql_core import _CELLS, _FOREST, _NESTED
 
 _DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _READS = f"reads AS (SELECT doc_id rec_no, CAST(doc_id AS VARCHAR) prefix, {_DNA.format('text')} seq, coalesce(lang, 'none') exp, coalesce(source, 'no_sample') sample FROM documents WHERE text IS NOT NULL)"
@@ -148,3 +148,35 @@ SQL |= {
       SELECT z.seq, z.size, coalesce(lb.n + rb.n >= len AND lb.par <> rb.par, false) chimeric FROM z LEFT JOIN lb USING (seq) LEFT JOIN rb USING (seq)""",
     "streaming_dereplicate": SQL["dereplicate"],
 }
+
+
+def _both(name: str, strands: str, pattern: str, most: int, hits: int) -> str:
+    """The first ``hits`` sites of a pattern in which codes stand for any of their bases, also hanging over an end."""
+    bases = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "N": "ACGT"}
+    fits = lambda j, c: f"CASE WHEN i + {j} BETWEEN 1 AND length(seq) AND substr(seq, CAST(greatest(i + {j}, 1) AS BIGINT), 1) IN ({', '.join(chr(39) + x + chr(39) for x in 'ACGTN' if x == 'N' or x in bases[c])}) THEN 0 ELSE 1 END"
+    wrong = " + ".join(fits(j, c) for j, c in enumerate(pattern))
+    return f"""{name} AS (SELECT name, i AS s, i + {len(pattern) - 1} AS e FROM (SELECT name, seq, i, {wrong} w FROM (SELECT name, seq, unnest(range({1 - most}, length(seq) - {len(pattern) - 2 - most})) i FROM {strands}))
+      WHERE w <= {most} QUALIFY row_number() OVER (PARTITION BY name ORDER BY i) <= {hits})"""
+
+
+_COMPLEMENT = "translate({}, 'ACGTRYKMBDHV', 'TGCAYRMKVHDB')"
+_MERGED = _merge("s / w", out="1.0::DOUBLE")
+
+SQL |= {
+    "fasta_to_table": f"""WITH {_NESTED}, recs AS (SELECT CAST(node_id AS VARCHAR) rec, min(struct_pack(id := regexp_replace(regexp_replace(raw_header, '^>', ''), ';size.*$', '', 's'), seq := seq)) r FROM node WHERE node_id IS NOT NULL GROUP BY node_id),
+      long AS (SELECT exp AS experiment, r.id AS "ID", r.seq AS "SEQ", sample, n AS count, status FROM counts6 JOIN recs USING (rec) WHERE r.seq IS NOT NULL)
+      SELECT *, CAST(sum(count) OVER (PARTITION BY "SEQ", experiment) AS BIGINT) total_count, 'SEQ_' || lpad(CAST(dense_rank() OVER (ORDER BY "SEQ") AS VARCHAR), 7, '0') AS "SEQ_ID" FROM long""",
+    "merge_wide": f"""SELECT * EXCLUDE (mark) FROM (PIVOT (SELECT 1 mark, experiment, id, grp || '_' || sample AS name, value FROM ({_MERGED})
+      UNION ALL SELECT 0, NULL, NULL, g.grp || '_' || s.sample, 0 FROM (SELECT DISTINCT grp FROM control_table WHERE category = 'sample' AND grp IS NOT NULL AND sample IS NOT NULL) g, (SELECT DISTINCT sample FROM control_table WHERE category = 'sample' AND grp IS NOT NULL AND sample IS NOT NULL) s)
+      ON name USING coalesce(sum(value), 0.0) GROUP BY mark, experiment, id) WHERE mark = 1""",
+    "search": """WITH q AS (SELECT uniq_id AS qseqid, min(seq) q FROM unique_info WHERE uniq_id IS NOT NULL GROUP BY 1), s AS (SELECT CAST(node_id AS VARCHAR) AS sseqid, min(seq) s FROM node WHERE node_id IS NOT NULL GROUP BY 1),
+      met AS (SELECT DISTINCT qseqid, sseqid FROM (SELECT DISTINCT qseqid, substr(q, i, 28) k FROM (SELECT *, unnest(range(1, length(q) - 26)) i FROM q WHERE length(q) >= 28)) JOIN (SELECT DISTINCT sseqid, substr(s, i, 28) k FROM (SELECT *, unnest(range(1, length(s) - 26)) i FROM s WHERE length(s) >= 28)) USING (k)),
+      hit AS (SELECT qseqid, sseqid, round(100 * (1 - levenshtein(q, s) / greatest(length(q), length(s))), 3) pident, round(100 * least(length(q), length(s)) / length(q), 3) qcovs FROM met JOIN q USING (qseqid) JOIN s USING (sseqid))
+      SELECT * FROM hit WHERE pident >= 90 AND qcovs >= 90 QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY pident DESC, qcovs DESC, sseqid) <= 10""",
+    "in_silico_strict": f"""WITH {_REFS}, strands AS (SELECT name, seq FROM refs WHERE seq IS NOT NULL AND length(seq) < 10000 UNION ALL SELECT '[REVERSE]' || name, reverse({_COMPLEMENT.format('seq')}) FROM refs WHERE seq IS NOT NULL AND length(seq) < 10000),
+      {_both('f', 'strands', 'AACTATGGACRG', 2, 5)}, {_both('r', 'strands', 'GTNACCGT', 2, 5)},
+      pair AS (SELECT name, seq, CASE WHEN f.e > r.e THEN r.s ELSE f.s END a_s, CASE WHEN f.e > r.e THEN r.e ELSE f.e END a_e, CASE WHEN f.e > r.e THEN f.s ELSE r.s END b_s, CASE WHEN f.e > r.e THEN f.e ELSE r.e END b_e FROM f JOIN r USING (name) JOIN strands USING (name)),
+      fit AS (SELECT *, a_e - 6 BETWEEN 1 AND length(seq) AND substr(seq, CAST(greatest(a_e - 6, 1) AS BIGINT), 1) IN ('T', 'N') AND b_s + 1 BETWEEN 1 AND length(seq) AND substr(seq, CAST(greatest(b_s + 1, 1) AS BIGINT), 1) IN ('T', 'N') ok FROM pair WHERE a_e < b_s)
+      SELECT 'F_AACTAT#GGACRG__R_ACGGTNA#C' primer_pair, name, CAST(greatest(a_s, 1) AS INTEGER) AS "begin", CAST(least(b_e, length(seq)) AS INTEGER) AS "end", substr(seq, CAST(greatest(a_s, 1) AS BIGINT), CAST(least(b_e, length(seq)) - greatest(a_s, 1) + 1 AS BIGINT)) seq
+      FROM fit QUALIFY bool_and(ok) OVER (PARTITION BY name)""",
+}
