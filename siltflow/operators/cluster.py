@@ -14,7 +14,7 @@ from siltflow.plans.order import numbered
 def similar_pairs(seqs: DataFrame, identity: float = 0.97, max_edits: int | None = None) -> DataFrame:
     """(a, b, edits) of sequences with edits <= (1 - identity) * longer length, ``a`` no longer than ``b``.
 
-    Of a text cut into d + 1 pieces one survives d edits in place, give or take d letters: pieces of the shorter text are
+    Of a text cut into d + 1 pieces one survives d edits, moved by no more than the edits on either side of it allow: pieces of the shorter text are
     joined by equality with the substrings of the longer one that can hold them, then verified.
     ``seqs`` has seq, unique. The length of the longer text of a pair fixes its d, which ``max_edits`` may lower.
     """
@@ -23,13 +23,17 @@ def similar_pairs(seqs: DataFrame, identity: float = 0.97, max_edits: int | None
     d = limit(F.col("lb")) if max_edits is None else F.least(limit(F.col("lb")), F.lit(max_edits))
     lens = own.select("len").distinct()
     # Lengths that are there, each with those it can be the shorter one of.
-    meet = cut(lens.select(F.col("len").alias("la")).join(lens.select(F.col("len").alias("lb")).withColumn("d", d), (F.col("la") <= F.col("lb")) & (F.col("la") >= F.col("lb") - F.col("d"))))
+    shorter = F.explode(F.sequence(F.greatest(F.col("lb") - F.col("d"), F.lit(1)), F.col("lb")))
+    meet = store(lens.select(F.col("len").alias("lb")).withColumn("d", d).withColumn("la", shorter).join(lens.select(F.col("len").alias("la")), "la", "left_semi")).df
     begin = lambda i: F.floor(F.col("la") * i / (F.col("d") + 1)).cast("int") + 1
     no = F.explode(F.sequence(F.lit(0), F.col("d")))
     start, size = begin(F.col("no")), begin(F.col("no") + 1) - begin(F.col("no"))
     pieces = own.withColumnRenamed("len", "la").join(meet.select("la", "d").distinct(), "la").withColumn("no", no).select(F.col("seq").alias("a"), "la", "d", F.xxhash64("d", "la", "no", F.substring("seq", start, size)).alias("piece"))
     other = own.withColumnRenamed("len", "lb").join(meet, "lb").withColumn("no", no)
-    other = other.withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d")))).where((start + F.col("shift") >= 1) & (start + F.col("shift") + size - 1 <= F.col("lb")))
+    # Of the pieces that survive, one has at most as many edits before it as there are pieces before, and so many after it as after.
+    more, after = F.col("lb") - F.col("la"), F.col("d") - F.col("no")
+    low, high = F.greatest(-F.col("no"), more - after), F.least(F.col("no"), more + after)
+    other = other.where(low <= high).withColumn("shift", F.explode(F.sequence(low, high))).where((start + F.col("shift") >= 1) & (start + F.col("shift") + size - 1 <= F.col("lb")))
     # Hashes stand for pieces and longer texts: equal ones only make more candidates, which are verified.
     other = other.select(F.xxhash64("seq").alias("hb"), F.xxhash64("d", "la", "no", F.substring("seq", start + F.col("shift"), size)).alias("piece")).distinct()
     met = pieces.join(other, "piece").select("a", "la", "d", "hb").distinct()
