@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltflow.functions.numbers import chance_of_none, harmonic, log_factorial
+from siltflow.plans.spread import spread
 
 class Abundances:
     """Abundances as distinct counts x with the number of taxa f that have each."""
@@ -53,6 +54,13 @@ class Abundances:
             total -= float((self.f[at] * np.add.reduceat(part, begins) / np.add.reduceat(p, begins)).sum())
         return total
 
+    def _entropy_of_one_less(self) -> float:
+        """The same for all reads but one, which is one of a taxon of x reads with chance x / n; without logarithms of
+        factorials, as it is only used for its small difference from the entropy of all reads."""
+        m, x = self.n - 1, self.x
+        part = lambda k: k / m * np.log(np.maximum(k, 1) / m)
+        return -float((self.f * (x / self.n * part(x - 1) + (1 - x / self.n) * part(x))).sum())
+
     def entropy(self) -> float:
         """Asymptotic estimate of Shannon entropy."""
         first = float((self.f * self.x / self.n * (harmonic(np.array(self.n - 1)) - harmonic(self.x - 1))).sum())
@@ -94,7 +102,7 @@ class Abundances:
             if m == n or n < 2:
                 return seen
             if self._limits is None:
-                self._limits = math.exp(self.entropy()), math.exp(self._drawn_entropy(n - 1))
+                self._limits = math.exp(self.entropy()), math.exp(self._entropy_of_one_less())
             goal, before = self._limits
             if goal <= before:
                 return seen
@@ -153,4 +161,4 @@ def rarefaction(cells: DataFrame, q: int = 0, endpoint: int = 150_000, knots: in
         return pd.concat(out)
 
     more = ", based string, qD_LCL double, qD_UCL double, SC_LCL double, SC_UCL double" if nboot else ""
-    return counts.groupBy("tag").applyInPandas(run, "tag string, m long, method string, qD double, SC double" + more)
+    return spread(counts, "tag").groupBy("tag").applyInPandas(run, "tag string, m long, method string, qD double, SC double" + more)
