@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltflow.functions import distances
 from siltflow.operators import taxonomy
 
 LINEAGE = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
@@ -41,7 +42,7 @@ def build(taxa: DataFrame, max_depth: int = 40) -> DataFrame:
     return keyed.join(lineage.withColumnRenamed("id", "taxon_id"), "taxon_id")
 
 
-def match(inputs: DataFrame, name_col: str, checklist: DataFrame, ranks: tuple[str, ...] = ("species",), constraints: dict[str, str] | None = None, fuzzy: bool = False, max_dist: int = 1, return_all: bool = False) -> DataFrame:
+def match(inputs: DataFrame, name_col: str, checklist: DataFrame, ranks: tuple[str, ...] = ("species",), constraints: dict[str, str] | None = None, fuzzy: bool = False, max_dist: int = 1, return_all: bool = False, method: str = "lv") -> DataFrame:
     """Inputs with their matches; inputs without match have no row.
 
     Distinct (name, constraints) are looked up once and joined back. Exact matches are by normalised
@@ -49,13 +50,16 @@ def match(inputs: DataFrame, name_col: str, checklist: DataFrame, ranks: tuple[s
     match when the fuzzy or the plain keys are within ``max_dist``, and the distance told is that of the plain keys. A synonym with a
     parent takes its accepted record. Of several matches the first by (exact, distance, accepted,
     taxon_id) is kept unless ``return_all``. A blank constraint does not constrain.
+    ``method`` is the distance: lv, or hamming, lcs, osa or dl, whose candidates come from Levenshtein's bound on them.
     """
+    if method != "lv" and method not in distances.METHODS:
+        raise ValueError(f"method must be lv or one of {sorted(distances.METHODS)}")
     constraints = constraints or {}
     on = ["_norm", *[f"_c_{r}" for r in constraints]]
     rows = inputs.withColumn("_norm", normalise(F.col(name_col)))
     for r, c in constraints.items():
         rows = rows.withColumn(f"_c_{r}", normalise(F.col(c)))
-    asked = rows.select(*on).where("_norm is not null").distinct().withColumn("_ask", F.monotonically_increasing_id())
+    asked = rows.select(*on).where("_norm is not null").distinct()
     asked = asked.withColumn("_ask", F.xxhash64(*on)).withColumn("_fuzzy", F.translate("_norm", "l", "i"))
     pool = checklist.where(F.col("rank").isin(*ranks) & F.col("name_norm").isNotNull())
     fits = F.lit(True)
@@ -64,11 +68,11 @@ def match(inputs: DataFrame, name_col: str, checklist: DataFrame, ranks: tuple[s
     exact = asked.join(pool, F.col("_norm") == F.col("name_norm")).where(fits).withColumns({"distance": F.lit(0), "match_type": F.lit("exact")})
     found = exact
     if fuzzy:
-        # Of max_dist + 1 pieces of a name one survives max_dist edits, at most max_dist letters from its place.
-        d = max_dist
+        # Of d + 1 pieces of a name one survives d edits, at most d letters from its place.
+        d = max_dist * (1 if method == "lv" else distances.METHODS[method][1])
         begin = lambda no, n: F.floor(F.col(n) * no / (d + 1)).cast("int") + 1
         no = F.explode(F.sequence(F.lit(0), F.lit(d)))
-        rest = asked.join(exact.select("_ask").distinct(), "_ask", "left_anti").withColumn("_len", F.explode(F.sequence(F.greatest(F.length("_fuzzy") - d, F.lit(1)), F.length("_fuzzy") + d)))
+        rest = asked.join(exact.select("_ask").distinct(), "_ask", "left_anti").withColumn("_len", F.explode(F.sequence(F.greatest(F.length("_fuzzy") - max_dist, F.lit(1)), F.length("_fuzzy") + max_dist)))
         rest = rest.withColumn("_no", no).withColumn("_shift", F.explode(F.sequence(F.lit(-d), F.lit(d))))
         start, size = begin(F.col("_no"), "_len") + F.col("_shift"), begin(F.col("_no") + 1, "_len") - begin(F.col("_no"), "_len")
         rest = rest.where((start >= 1) & (start + size - 1 <= F.length("_fuzzy"))).withColumn("_piece", F.substring("_fuzzy", start, size)).drop("_shift").distinct()
@@ -77,7 +81,12 @@ def match(inputs: DataFrame, name_col: str, checklist: DataFrame, ranks: tuple[s
         met = (F.substring("_fuzzy", 1, 1) == F.substring("name_fuzzy", 1, 1)) & (F.col("_len") == F.col("_plen")) & (F.col("_no") == F.col("_pno")) & (F.col("_piece") == F.col("_ppiece"))
         # The fuzzy keys are never farther apart than the plain ones.
         near = rest.join(cut, met).where(fits & (F.expr(f"levenshtein(_fuzzy, name_fuzzy, {d})") >= 0)).drop("_len", "_no", "_piece", "_plen", "_pno", "_ppiece").dropDuplicates(["_ask", "taxon_id"])
-        found = exact.unionByName(near.withColumns({"distance": F.expr("levenshtein(_norm, name_norm)"), "match_type": F.lit("fuzzy")}))
+        if method == "lv":
+            near = near.withColumn("distance", F.expr("levenshtein(_norm, name_norm)"))
+        else:
+            apart = F.pandas_udf(distances.of_series(method), "int")
+            near = near.where(apart("_fuzzy", "name_fuzzy") <= max_dist).withColumn("distance", apart("_norm", "name_norm"))
+        found = exact.unionByName(near.withColumn("match_type", F.lit("fuzzy")))
     accepted = checklist.select(F.col("taxon_id").alias("_aid"), *[F.col(c).alias(f"_a_{c}") for c in ("scientific_name", "authorship", "status", *LINEAGE)])
     link = F.when(F.lower("status").contains("synonym") & (F.trim("parent_id") != ""), F.col("parent_id"))
     full = found.withColumn("_link", link).join(accepted, F.col("_link") == F.col("_aid"), "left")

@@ -9,6 +9,12 @@ from siltflow.operators import nested
 from siltflow.plans.order import numbered
 
 METHODS = ("maximum", "mean", "threshold", "both_threshold")
+MOST_CONTROL = 500_000  # rows of a control table whose parts are broadcast; parts of a longer one are joined
+
+
+def _small(control: DataFrame):
+    """``broadcast`` for frames with no more than a few rows per row of the control table, if that is counted to be small."""
+    return F.broadcast if control.count() <= MOST_CONTROL else (lambda df: df)
 
 
 def whole_number(c):
@@ -64,18 +70,19 @@ def decontaminate(cells: DataFrame, control: DataFrame, method: str = "maximum",
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
+    small = _small(control)
     blanks = blanks or {"EB": "eb", "FB": "fb", "PB": "pb"}
     links = control.select("sample", "tag", "category", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).alias("blank")) for t, c in blanks.items()])).alias("l")).select("sample", "tag", "category", "l.*")
     named = links.where("blank is not null").select(F.col("blank").alias("sample")).distinct()
-    blank_tags = control.where(F.col("category").isin(*blanks)).join(F.broadcast(named), "sample", "left_semi").select("tag", F.col("sample").alias("blank"), F.col("category").alias("type"))
+    blank_tags = control.where(F.col("category").isin(*blanks)).join(small(named), "sample", "left_semi").select("tag", F.col("sample").alias("blank"), F.col("category").alias("type"))
     present = cells.select("tag").distinct()
     blank_tags = blank_tags.join(present, "tag", "left_semi").distinct()
     width = blank_tags.groupBy("blank", "type").agg(F.count("*").alias("width"))
-    value = cells.join(F.broadcast(blank_tags), "tag").groupBy("experiment", "id", "blank", "type").agg(F.max("cnt").alias("most"), F.sum("cnt").alias("all")).join(F.broadcast(width), ["blank", "type"])
+    value = cells.join(small(blank_tags), "tag").groupBy("experiment", "id", "blank", "type").agg(F.max("cnt").alias("most"), F.sum("cnt").alias("all")).join(small(width), ["blank", "type"])
     level = {"maximum": F.col("most").cast("double"), "mean": F.bround(F.col("all") / F.col("width"), 0)}.get(method, F.when(F.col("most") < threshold, 0.0).otherwise(1.0))
     targets = links.where("category = 'sample' and blank is not null").select(F.col("tag").alias("to"), "type", "blank").distinct()
-    dirt = value.withColumn("level", level).join(F.broadcast(targets), ["type", "blank"]).groupBy("experiment", "id", F.col("to").alias("tag")).agg(F.sum("level").alias("level"))
-    kept = cells.join(F.broadcast(blank_tags.select("tag").distinct()), "tag", "left_anti")
+    dirt = value.withColumn("level", level).join(small(targets), ["type", "blank"]).groupBy("experiment", "id", F.col("to").alias("tag")).agg(F.sum("level").alias("level"))
+    kept = cells.join(small(blank_tags.select("tag").distinct()), "tag", "left_anti")
     out = kept.join(dirt, ["experiment", "id", "tag"], "left").withColumn("level", F.coalesce("level", F.lit(0.0)))
     cnt = F.greatest(F.col("cnt") - F.col("level"), F.lit(0.0)) if method in ("maximum", "mean") else F.when(F.col("level") > 0, 0).otherwise(F.col("cnt"))
     return out.select("experiment", "id", "tag", cnt.cast("long").alias("cnt"))
@@ -89,14 +96,15 @@ def merge_replicates(cells: DataFrame, control: DataFrame, method: str = "mean_r
     """
     if method not in ("mean_rra", "max_rra", "both_occur"):
         raise ValueError("method must be mean_rra, max_rra or both_occur")
+    small = _small(control)
     totals = cells.groupBy("tag").agg(F.sum("cnt").alias("all")).where(F.col("all") > 0)
     reps = control.where("category = 'sample'").select("tag", "grp", "sample").distinct().join(totals, "tag")
     width = reps.groupBy("grp", "sample").agg(F.count("*").alias("width"))
-    share = cells.join(F.broadcast(reps), "tag").withColumn("rra", F.col("cnt") / F.col("all"))
+    share = cells.join(small(reps), "tag").withColumn("rra", F.col("cnt") / F.col("all"))
     per = share.groupBy("experiment", "id", "grp", "sample").agg(F.sum("rra").alias("sum"), F.max("rra").alias("max"), F.sum((F.col("cnt") > 0).cast("long")).alias("seen"))
     mean = F.col("sum") / F.col("width")
     value = {"mean_rra": mean, "max_rra": F.col("max"), "both_occur": F.when(F.col("seen") >= repeat_times, mean).otherwise(0.0)}[method]
-    out = per.join(F.broadcast(width), ["grp", "sample"]).select("experiment", "id", "grp", "sample", value.alias("value")).where("value > 0")
+    out = per.join(small(width), ["grp", "sample"]).select("experiment", "id", "grp", "sample", value.alias("value")).where("value > 0")
     return out.withColumn("value", F.lit(1.0)) if present_absent else out
 
 

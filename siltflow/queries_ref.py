@@ -50,10 +50,10 @@ def denoise_loose(spark: SparkSession, d: str) -> DataFrame:
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     e = _table(spark, d, "events")
-    base = F.substring(iupac.dna((F.col("user_id") % 5).cast("string")), 1, 12)
-    at = (F.floor(F.col("event_id") / 10) % 12).cast("int")
+    base = iupac.dna((F.col("user_id") % 5).cast("string"))
+    at = (F.floor(F.col("event_id") / 10) % 32).cast("int")
     letter = F.when(F.substring(base, at + 1, F.lit(1)) == "A", "C").otherwise("A")
-    seq = F.when(F.col("event_id") % 10 == 0, F.concat(F.substring(base, F.lit(1), at), letter, F.substring(base, at + 2, F.lit(12)))).otherwise(base)
+    seq = F.when(F.col("event_id") % 10 == 0, F.concat(F.substring(base, F.lit(1), at), letter, F.substring(base, at + 2, F.lit(32)))).otherwise(base)
     return derep.dereplicate(e.select(seq.alias("seq"), F.col("event_type").alias("exp"), (F.col("event_id") % 4).cast("string").alias("sample")))
 
 
@@ -157,12 +157,18 @@ def col_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return colmatch.match(asked, "query", _checklist(spark, d), fuzzy=True, max_dist=2).drop(*colmatch.LINEAGE)
 
 
+def _match_by(spark: SparkSession, d: str, method: str) -> DataFrame:
+    asked = _table(spark, d, "taxon_reference").select("ref_id", F.col("canonical_name").alias("query"))
+    return colmatch.match(asked, "query", _checklist(spark, d), fuzzy=True, max_dist=2, method=method).drop(*colmatch.LINEAGE)
+
+
 _PLAIN = (
     dereplicate, dereplicate_headers, count_records, denoise_default, denoise_loose, denoise_events, fasta_to_table, sequence_ids, latest_cells, merge_wide, find_lca, get_taxonomy, taxids_of_names, get_taxid,
     format_to_dada, col_normalise, col_lineage, col_match_exact, col_match_fuzzy,
 )
 QUERIES = {f.__name__: f for f in _PLAIN}
 QUERIES |= {f"decontamination_{m}": (lambda s, d, m=m: _decontaminated(s, d, m)) for m in tables.METHODS}
+QUERIES |= {f"col_match_{m}": (lambda s, d, m=m: _match_by(s, d, m)) for m in ("hamming", "dl")}
 QUERIES |= {
     "merge_replicate_mean_rra": lambda s, d: _merged(s, d, "mean_rra"),
     "merge_replicate_max_rra": lambda s, d: _merged(s, d, "max_rra"),

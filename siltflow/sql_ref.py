@@ -9,8 +9,8 @@ _DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _READS = f"reads AS (SELECT doc_id rec_no, CAST(doc_id AS VARCHAR) prefix, {_DNA.format('text')} seq, coalesce(lang, 'none') exp, coalesce(source, 'no_sample') sample FROM documents WHERE text IS NOT NULL)"
 _OBS = """obs0 AS (SELECT seq, e.key exp, unnest(map_entries(e.value)) s FROM (SELECT seq, unnest(map_entries(m)) e FROM (SELECT min(seq) seq, any_value(exp_sample_count) m FROM node WHERE node_id IS NOT NULL GROUP BY node_id)) WHERE seq IS NOT NULL),
 obs AS (SELECT seq, exp, s.key AS sample, sum(s.value) cnt FROM obs0 GROUP BY 1, 2, 3)"""
-_EVENTS = f"""ev AS (SELECT event_type exp, CAST(event_id % 4 AS VARCHAR) sample, event_id, substr({_DNA.format("CAST(user_id % 5 AS VARCHAR)")}, 1, 12) base FROM events),
-ev2 AS (SELECT exp, sample, CASE WHEN event_id % 10 <> 0 THEN base ELSE substr(base, 1, (event_id // 10) % 12) || CASE WHEN substr(base, (event_id // 10) % 12 + 1, 1) = 'A' THEN 'C' ELSE 'A' END || substr(base, (event_id // 10) % 12 + 2) END seq FROM ev),
+_EVENTS = f"""ev AS (SELECT event_type exp, CAST(event_id % 4 AS VARCHAR) sample, event_id, {_DNA.format("CAST(user_id % 5 AS VARCHAR)")} base FROM events),
+ev2 AS (SELECT exp, sample, CASE WHEN event_id % 10 <> 0 THEN base ELSE substr(base, 1, (event_id // 10) % 32) || CASE WHEN substr(base, (event_id // 10) % 32 + 1, 1) = 'A' THEN 'C' ELSE 'A' END || substr(base, (event_id // 10) % 32 + 2) END seq FROM ev),
 obs AS (SELECT seq, exp, sample, count(*) cnt FROM ev2 GROUP BY 1, 2, 3)"""
 
 
@@ -61,6 +61,16 @@ ask AS (SELECT ref_id, canonical_name query, {_NORM.format("canonical_name")} q
 _FULL = """acc AS (SELECT f.*, a.taxon_id aid, a.scientific_name aname, a.authorship aauth, a.status astat FROM found f LEFT JOIN chk a ON contains(lower(f.status), 'synonym') AND trim(f.parent_id) <> '' AND a.taxon_id = f.parent_id),
 res AS (SELECT ref_id, query, taxon_id, scientific_name, match_type, CAST(distance AS INTEGER) distance, coalesce(aid, taxon_id) accepted_id, coalesce(aname, scientific_name) accepted_name, coalesce(astat, status) status, coalesce(aauth, authorship) authorship, q FROM acc)"""
 
+def _fuzzy(near: str, apart: str) -> str:
+    return f"""WITH {_CHECK}, ex AS (SELECT ask.*, chk.*, 'exact' match_type, 0 distance FROM ask JOIN chk ON q = nn AND rank = 'species'),
+      fz AS (SELECT ask.*, chk.*, 'fuzzy' match_type, {apart} distance FROM ask JOIN chk ON rank = 'species' AND left(replace(q, 'l', 'i'), 1) = left(replace(nn, 'l', 'i'), 1) AND abs(length(q) - length(nn)) <= 2
+        WHERE q NOT IN (SELECT q FROM ex) AND {near}),
+      found AS (SELECT * FROM ex UNION ALL SELECT * FROM fz), {_FULL}
+      SELECT * EXCLUDE (q) FROM res QUALIFY row_number() OVER (PARTITION BY q, ref_id ORDER BY match_type <> 'exact', distance, coalesce(lower(status) <> 'accepted', true), taxon_id) = 1"""
+
+
+_I = "replace(q, 'l', 'i'), replace(nn, 'l', 'i')"
+
 SQL = {
     "dereplicate": f"WITH {_READS} SELECT seq, exp, sample, count(*) cnt FROM reads GROUP BY 1, 2, 3",
     "dereplicate_headers": f"WITH {_READS}, f AS (SELECT seq, arg_min(prefix, rec_no) prefix, count(*) total_count FROM reads GROUP BY 1) SELECT seq, any_value(prefix) prefix, any_value(total_count) total_count, exp, sample, count(*) cnt FROM reads JOIN f USING (seq) GROUP BY seq, exp, sample".replace("any_value(prefix) prefix", "any_value(f.prefix) prefix"),
@@ -91,11 +101,9 @@ SQL = {
     "get_taxid": "SELECT 'A' || (l_orderkey * 2 - l_linenumber) || '.1' AS query, l_orderkey || '.' || l_linenumber AS rec, o_custkey taxid FROM lineitem LEFT JOIN (SELECT o_orderkey, min(o_custkey) o_custkey FROM orders GROUP BY 1) ON 'A' || (l_orderkey * 2 - l_linenumber) = 'A' || o_orderkey",
     "col_normalise": "SELECT DISTINCT taxon_id, scientific_name_norm norm FROM col_taxa WHERE scientific_name_norm IS NOT NULL",
     "col_match_exact": f"WITH {_CHECK}, found AS (SELECT ask.*, chk.*, 'exact' match_type, 0 distance FROM ask JOIN chk ON q = nn AND rank = 'species'), {_FULL} SELECT * EXCLUDE (q) FROM res",
-    "col_match_fuzzy": f"""WITH {_CHECK}, ex AS (SELECT ask.*, chk.*, 'exact' match_type, 0 distance FROM ask JOIN chk ON q = nn AND rank = 'species'),
-      fz AS (SELECT ask.*, chk.*, 'fuzzy' match_type, levenshtein(q, nn) distance FROM ask JOIN chk ON rank = 'species' AND left(replace(q, 'l', 'i'), 1) = left(replace(nn, 'l', 'i'), 1) AND abs(length(q) - length(nn)) <= 2
-        WHERE q NOT IN (SELECT q FROM ex) AND least(levenshtein(q, nn), levenshtein(replace(q, 'l', 'i'), replace(nn, 'l', 'i'))) <= 2),
-      found AS (SELECT * FROM ex UNION ALL SELECT * FROM fz), {_FULL}
-      SELECT * EXCLUDE (q) FROM res QUALIFY row_number() OVER (PARTITION BY q, ref_id ORDER BY match_type <> 'exact', distance, coalesce(lower(status) <> 'accepted', true), taxon_id) = 1""",
+    "col_match_fuzzy": _fuzzy(f"least(levenshtein(q, nn), levenshtein({_I})) <= 2", "levenshtein(q, nn)"),
+    "col_match_dl": _fuzzy(f"damerau_levenshtein({_I}) <= 2", "CAST(damerau_levenshtein(q, nn) AS INTEGER)"),
+    "col_match_hamming": _fuzzy(f"CASE WHEN length(q) = length(nn) THEN hamming({_I}) <= 2 ELSE false END", "CASE WHEN length(q) = length(nn) THEN hamming(q, nn) END"),
 }
 _COL_RANKS = RANKS
 SQL["col_lineage"] = f"""WITH RECURSIVE {_FOREST}, {_CHECK},
@@ -129,6 +137,26 @@ SELECT kn.tag, kn.m, CASE WHEN kn.m < n THEN 'Rarefaction' WHEN kn.m = n THEN 'O
   round(%s, 6) AS "qD", round(CASE WHEN kn.m < n THEN c ELSE 1 - f1 / n * a ** (kn.m - n + 1) END, 6) AS "SC"
 FROM kn JOIN par USING (tag) LEFT JOIN inn ON inn.tag = kn.tag AND inn.m = kn.m %s"""
 
+# Entropy of a drawn sample: every count x gives k reads by the hypergeometric distribution. Beyond the reads there are, the
+# sum of t^r / r from n on is the unseen part of the entropy's estimate.
+_RARE_ENTROPY = _RARE % (
+    "CASE WHEN kn.m < n THEN exp(hd) WHEN kn.m = n OR n < 2 OR exp(goal) <= exp(hb) THEN exp(hs) ELSE exp(hs) + (exp(goal) - exp(hs)) * (1 - (1 - (exp(hs) - exp(hb)) / (exp(goal) - exp(hb))) ** (kn.m - n)) END",
+    "LEFT JOIN drawn ON drawn.tag = kn.tag AND drawn.m = kn.m LEFT JOIN less ON less.tag = kn.tag LEFT JOIN ent ON ent.tag = kn.tag",
+)
+_RARE_ENTROPY = _RARE_ENTROPY.replace("\nSELECT kn.tag", """,
+drawn AS (SELECT tag, m, -sum(f * k / m::DOUBLE * ln(k / m::DOUBLE) * exp(lgamma(x + 1) - lgamma(k + 1) - lgamma(x - k + 1) + lgamma(n - x + 1) - lgamma(m - k + 1) - lgamma(n - x - m + k + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1))) hd
+  FROM (SELECT tag, m, x, f, n, unnest(range(CAST(greatest(1, m - (n - x)) AS BIGINT), CAST(least(x, m) AS BIGINT) + 1)) k FROM kn JOIN tot USING (tag) JOIN ab USING (tag) WHERE m < n) GROUP BY 1, 2),
+less AS (SELECT tag, -sum(f * (x / n * CASE WHEN x > 1 THEN (x - 1) / (n - 1) * ln((x - 1) / (n - 1)) ELSE 0 END + (1 - x / n) * x / (n - 1) * ln(x / (n - 1)))) hb FROM ab JOIN tot USING (tag) WHERE n > 1 GROUP BY 1),
+harm AS (SELECT i, sum(1 / i) OVER (ORDER BY i) h FROM (SELECT CAST(unnest(range(1, (SELECT max(n) FROM tot) + 1)) AS DOUBLE) i)),
+seen AS (SELECT tag, -sum(f * x / n * ln(x / n)) hs, sum(f * x / n * (coalesce(hn.h, 0) - coalesce(hx.h, 0))) h1 FROM ab JOIN tot USING (tag) LEFT JOIN harm hn ON hn.i = n - 1 LEFT JOIN harm hx ON hx.i = x - 1 GROUP BY 1),
+unseen AS (SELECT tag, n, f1, 1 - CASE WHEN f2 > 0 THEN 2 * f2 / ((n - 1) * f1 + 2 * f2) WHEN f1 > 1 THEN 2 / ((n - 1) * (f1 - 1) + 2) ELSE 1 END t FROM tot WHERE f1 > 0 AND n > 1),
+tail AS (SELECT tag, f1 / n * sum(t ** (i + 1) / (n + i)) u FROM (SELECT *, unnest(range(0, CAST(least(60 / (1 - t), 3000000) AS BIGINT))) i FROM unseen WHERE t > 0) GROUP BY tag, f1, n),
+ent AS (SELECT tag, hs, h1 + coalesce(u, 0) goal FROM seen LEFT JOIN tail USING (tag))
+SELECT kn.tag""")
+
+_PAIRS = """SELECT a.s a, b.s b, CAST(levenshtein(a.s, b.s) AS INTEGER) edits FROM q a JOIN q b ON (length(a.s) < length(b.s) OR (length(a.s) = length(b.s) AND a.s < b.s)) AND length(b.s) - length(a.s) <= floor(0.03 * length(b.s) + 1e-9)
+      WHERE CASE WHEN left(a.s, 12) = left(b.s, 12) OR right(a.s, 12) = right(b.s, 12) OR contains(b.s, substr(a.s, length(a.s) // 2, 12)) OR contains(b.s, substr(a.s, length(a.s) // 4, 12)) OR contains(b.s, substr(a.s, length(a.s) * 3 // 4 - 4, 12)) OR contains(b.s, substr(a.s, 20, 12)) OR contains(b.s, substr(a.s, length(a.s) - 30, 12)) THEN levenshtein(a.s, b.s) <= floor(0.03 * length(b.s) + 1e-9) ELSE false END"""
+
 SQL |= {
     "find_primer_binding_sites": f"WITH {_REFS}, {_sites('p', 'AACTATGGACAG', 2, False)} SELECT name, s AS start, e AS \"end\", w AS mismatches FROM p",
     "in_silico": f"WITH {_REFS}, {_sites('f1', 'AACTATGGACAG', 0, True)}, {_sites('r1', 'ACCGT', 0, True)}, {_sites('f2', 'GAGGCGCTTG', 0, True)}, {_sites('r2', 'GCTA', 0, True)} {_product('F_AACTATGGACAG__R_ACGGT', 'f1', 'r1')} UNION ALL {_product('F_GAGGCGCTTG__R_TAGC', 'f2', 'r2')}",
@@ -138,9 +166,16 @@ SQL |= {
       SELECT doc_id rec_no, c.tag IS NOT NULL identified, c.tag AS sample, CASE WHEN c.tag IS NOT NULL THEN ins END AS "insert", CASE WHEN c.tag IS NOT NULL THEN CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS INTEGER) END fwd_mismatch, CASE WHEN c.tag IS NOT NULL THEN CAST(0 AS INTEGER) END rev_mismatch
       FROM r LEFT JOIN (SELECT min(tag) tag, substr({_DNA.format('tag')}, 1, 8) code FROM control_table WHERE tag IS NOT NULL GROUP BY 2) c ON c.code = substr({_DNA.format('r.tag')}, 1, 8)""",
     "rarefaction_q0": _RARE % ("CASE WHEN kn.m < n THEN d WHEN f0 > 0 THEN s + f0 * (1 - (1 - f1 / (n * f0 + f1)) ** (kn.m - n)) ELSE s END", ""),
+    "rarefaction_q1": _RARE_ENTROPY,
     "rarefaction_q2": _RARE % ("1 / (1 / kn.m + (kn.m - 1) / kn.m * CASE WHEN n > 1 THEN p2 / (n * (n - 1)) ELSE 0 END)", "JOIN (SELECT tag, sum(f * x * (x - 1)) p2 FROM ab GROUP BY 1) pp ON pp.tag = kn.tag"),
-    "similar_pairs": f"""WITH {_OBS}, q AS (SELECT DISTINCT seq s FROM obs) SELECT a.s a, b.s b, CAST(levenshtein(a.s, b.s) AS INTEGER) edits FROM q a JOIN q b ON (length(a.s) < length(b.s) OR (length(a.s) = length(b.s) AND a.s < b.s)) AND length(b.s) - length(a.s) <= floor(0.03 * length(b.s) + 1e-9)
-      WHERE CASE WHEN left(a.s, 12) = left(b.s, 12) OR right(a.s, 12) = right(b.s, 12) OR contains(b.s, substr(a.s, length(a.s) // 2, 12)) OR contains(b.s, substr(a.s, length(a.s) // 4, 12)) OR contains(b.s, substr(a.s, length(a.s) * 3 // 4 - 4, 12)) OR contains(b.s, substr(a.s, 20, 12)) OR contains(b.s, substr(a.s, length(a.s) - 30, 12)) THEN levenshtein(a.s, b.s) <= floor(0.03 * length(b.s) + 1e-9) ELSE false END""",
+    "similar_pairs": f"WITH {_OBS}, q AS (SELECT DISTINCT seq s FROM obs) {_PAIRS}",
+    "cluster_table": f"""WITH RECURSIVE {_OBS}, q AS MATERIALIZED (SELECT DISTINCT seq s FROM obs), pairs AS MATERIALIZED ({_PAIRS}),
+      z AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY length(s) DESC, s) no FROM q),
+      e AS MATERIALIZED (SELECT greatest(x.no, y.no) no, list({{'d': edits, 'o': least(x.no, y.no)}}) near FROM pairs JOIN z x ON x.s = a JOIN z y ON y.s = b GROUP BY 1),
+      g AS (SELECT CAST(0 AS BIGINT) no, CAST([] AS BOOLEAN[]) f UNION ALL SELECT z.no, list_append(f, len(list_filter(coalesce(near, []), lambda x: f[x.o])) = 0) FROM g JOIN z ON z.no = g.no + 1 LEFT JOIN e ON e.no = z.no),
+      f AS (SELECT f FROM g ORDER BY no DESC LIMIT 1),
+      c AS (SELECT z.s, CASE WHEN f[z.no] THEN z.no ELSE list_min(list_filter(near, lambda x: f[x.o])).o END k FROM f, z LEFT JOIN e ON e.no = z.no)
+      SELECT exp experiment, m.s AS "SEQ", sample, CAST(sum(cnt) AS BIGINT) count FROM obs JOIN c ON c.s = obs.seq JOIN z m ON m.no = c.k GROUP BY 1, 2, 3""",
     "chimeras": f"""WITH {_OBS}, z AS (SELECT seq, CAST(sum(cnt) AS BIGINT) size, length(seq) len FROM obs GROUP BY 1),
       l AS (SELECT seq, size, n, left(seq, n) p FROM (SELECT seq, size, unnest(range(24, len)) n FROM z WHERE len > 24)), r AS (SELECT seq, size, n, right(seq, n) p FROM (SELECT seq, size, unnest(range(24, len)) n FROM z WHERE len > 24)),
       lt AS (SELECT p, max({{'size': size, 'seq': seq}}) t FROM l GROUP BY 1), rt AS (SELECT p, max({{'size': size, 'seq': seq}}) t FROM r GROUP BY 1),
