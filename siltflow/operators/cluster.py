@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltflow.plans.lineage import cut, read_all, store
+from siltflow.functions.seeds import seeds
+from siltflow.plans.lineage import read_all, store
 from siltflow.plans.order import numbered
+from siltflow.plans.spread import spread
 
 
 def similar_pairs(seqs: DataFrame, identity: float = 0.97, max_edits: int | None = None) -> DataFrame:
@@ -103,18 +106,31 @@ def search(queries: DataFrame, db: DataFrame, seed: int = 28, max_target_seqs: i
     """(qseqid, sseqid, pident, qcovs): seed-and-verify search, approximate next to gapped local alignment.
 
     A hit shares an exact seed; identity is 100 * (1 - edits / longer length), coverage the shorter over the query's length.
+    Of every stretch of ``seed`` letters one shorter window is sent, see ``seeds``, and that a whole stretch is shared is tested on what is left at the end.
     Every seed is followed, however many entries hold it: numbers and lengths alone are joined, so that Spark can split a hot
     partition, and sequences are fetched once for each pair. Both frames have id and seq.
     """
-    mers = lambda df, name, size: df.where(F.length("seq") >= seed).select(F.col("id").alias(name), F.length("seq").alias(size), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - seed + 1), lambda i: F.xxhash64(F.substring("seq", i, F.lit(seed)))))).alias("k"))
+    def seeded(df: DataFrame, name: str, size: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                text, k = seeds(b.seq.tolist(), seed, seed - seed // 4)
+                yield pd.DataFrame({name: b.id.to_numpy()[text], size: b["size"].to_numpy()[text], "k": k})
+
+        rows = spread(df.where(F.length("seq") >= seed).select("id", "seq", F.length("seq").alias("size")), "id")
+        return rows.mapInPandas(run, f"{name} {dict(df.dtypes)['id']}, {size} int, k long")
+
     longer = F.greatest("ql", "sl")
-    met = mers(queries, "qseqid", "ql").join(mers(db, "sseqid", "sl"), "k").withColumn("qcovs", F.round(100 * F.least("ql", "sl") / F.col("ql"), 3)).where(F.col("qcovs") >= qcov)
+    met = seeded(queries, "qseqid", "ql").join(seeded(db, "sseqid", "sl"), "k").withColumn("qcovs", F.round(100 * F.least("ql", "sl") / F.col("ql"), 3)).where(F.col("qcovs") >= qcov)
     met = met.where(F.round(100 * (1 - F.abs(F.col("ql") - F.col("sl")) / longer), 3) >= perc_identity)  # the difference of the lengths is the least number of edits
     near = met.select("qseqid", "sseqid", "ql", "sl", "qcovs").distinct()
     near = near.join(queries.select(F.col("id").alias("qseqid"), F.col("seq").alias("q")), "qseqid").join(db.select(F.col("id").alias("sseqid"), F.col("seq").alias("s")), "sseqid")
     near = near.where((F.length("q") == F.col("ql")) & (F.length("s") == F.col("sl")))
-    most = int((1 - perc_identity / 100) * (db.agg(F.max(F.length("seq"))).first()[0] or 0) * 100 / qcov) + 1
-    near = near.select("qseqid", "sseqid", "qcovs", longer.alias("longer"), F.explode(F.array(F.expr(f"levenshtein(q, s, {most})"))).alias("edits")).where("edits >= 0")
+    near = near.withColumn("most", F.ceil(longer * (1 - perc_identity / 100)).cast("int") + 1)  # edits that the identity allows
+    near = near.select("qseqid", "sseqid", "q", "s", "qcovs", longer.alias("longer"), F.explode(F.array(F.expr("levenshtein(q, s, most)"))).alias("edits")).where("edits >= 0")
     hit = near.withColumn("pident", F.round(100 * (1 - F.col("edits") / F.col("longer")), 3)).where(F.col("pident") >= perc_identity)
+    mers = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - seed + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(seed))))
+    # So few edits leave a whole stretch between two of them; otherwise it is looked for.
+    sure = F.floor((F.col("longer") - F.col("edits")) / (F.col("edits") + 1)) >= seed
+    hit = hit.where(F.when(sure, F.lit(True)).otherwise(F.arrays_overlap(mers("q"), mers("s"))))
     top = Window.partitionBy("qseqid").orderBy(F.desc("pident"), F.desc("qcovs"), "sseqid")
     return hit.withColumn("k", F.row_number().over(top)).where(F.col("k") <= max_target_seqs).select("qseqid", "sseqid", "pident", "qcovs")

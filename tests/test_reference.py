@@ -7,6 +7,7 @@ import pytest
 
 from siltflow.functions import iupac
 from siltflow.functions.iupac import revcomp
+from siltflow.functions.seeds import seeds, window_hashes
 from siltflow.operators import cluster, colmatch, denoise, derep, diversity, pairend, primers, tables, taxonomy
 from siltflow.plans.order import numbered
 from siltflow.sources import external, files
@@ -157,6 +158,18 @@ def test_synonyms_and_constraints(spark):
     assert got == {1: ("exact", "Abc defg", "Abc", 0), 2: ("fuzzy", "Abc defg", "Abc", 1)}
 
 
+def test_distances_known_and_bounded():
+    from siltflow.functions import distances as ds
+
+    assert (ds.osa("ca", "abc"), ds.damerau("ca", "abc"), ds.lcs("kitten", "sitting"), ds.hamming("karolin", "kathrin"), ds.hamming("a", "ab")) == (3, 2, 5, 3, ds.FAR)
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(8))) for _ in range(2))
+        for f, most in ds.METHODS.values():
+            assert f(a, b) == f(b, a) and lev(a, b) <= most * f(a, b) and (f(a, b) == 0) == (a == b)
+        assert ds.damerau(a, b) <= ds.osa(a, b) <= lev(a, b) <= ds.lcs(a, b)
+
+
 def test_primer_sites():
     assert primers.sites("AACGTACT", "ACG", 1, "pattern") == [(1, 0), (5, 1)]
     assert primers.sites("ANG", "ACG", 0, "pattern") == [] and primers.sites("ANG", "ACG", 0, "both") == [(0, 0)]
@@ -294,6 +307,23 @@ def test_chimera_and_search(spark):
     assert [(r.qseqid, r.sseqid) for r in cluster.search(q, db).collect()] == [("q", "a")]
 
 
+def test_common_stretches_have_common_seeds():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 27, 28, 90, 200)]
+    texts.append(texts[3][20:60] + texts[4][100:130])
+    text, k = seeds(texts, 28, 21)
+    of = [set(k[text == i].tolist()) for i in range(len(texts))]
+    assert not of[0] and not of[1] and len(of[2]) == 1 and of[5] & of[3] and of[5] & of[4] and not of[3] & of[4]
+    for length in (1, 2, 5, 21):
+        codes = np.frombuffer(texts[4].encode(), np.uint8)
+        h = window_hashes(codes, length)
+        assert len(h) == len(codes) - length + 1
+        of_text = {}
+        for i, x in enumerate(h.tolist()):
+            of_text.setdefault(texts[4][i : i + length], set()).add(x)
+        assert all(len(v) == 1 for v in of_text.values()) and len(set(h.tolist())) == len(of_text)
+
+
 def test_search_follows_the_seeds_of_a_large_family(spark):
     rng = random.Random(9)
     base, family = "".join(rng.choice("ACGT") for _ in range(60)), {}
