@@ -76,30 +76,42 @@ def cluster_table(long: DataFrame, clusters: DataFrame) -> DataFrame:
     return long.join(clusters.select(F.col("seq").alias("SEQ"), "centroid"), "SEQ").groupBy("experiment", F.col("centroid").alias("SEQ"), "sample").agg(F.sum("count").alias("count"))
 
 
-def chimeras(seqs: DataFrame, fold: float = 2.0, min_part: int = 24) -> DataFrame:
-    """(seq, size, left, right, chimeric): sequences that are a beginning of one and an end of another, far more frequent parent.
+def chimeras(seqs: DataFrame, fold: float = 2.0, min_part: int = 24, reference: DataFrame | None = None) -> DataFrame:
+    """(seq, size, left, right, chimeric): sequences that are a beginning of one parent and an end of another.
 
     Approximate next to alignment-based detection: the parts are exact. For each length the most
     frequent holder of a beginning is found by aggregation, no pairs are made. A sequence is chimeric when the longest
-    beginning and the longest end found in parents at least ``fold`` times as frequent, each of ``min_part`` letters or more, cover it and no parent holds it whole.
+    beginning and the longest end found in parents, each of ``min_part`` letters or more, cover it and no parent holds it from its beginning or to its end whole.
+    Parents are sequences at least ``fold`` times as frequent, or those of ``reference`` (seq, unique), where one is given.
     What is shuffled for each beginning and end is two hashes and a number, not the sequence. ``seqs`` has seq, unique, and size.
     """
     # Numbers in the order of the sequences stand for them: of equally frequent parents the last one counts.
-    sized = store(numbered(seqs.select("seq", "size", F.length("seq").alias("len")), ["seq"], "no")).df
+    mine = seqs.select("seq", "size", F.length("seq").alias("len"))
+    sized = store(numbered(mine, ["seq"], "no")).df
+    parents = sized if reference is None else store(numbered(reference.select("seq", F.lit(0).cast("long").alias("size"), F.length("seq").alias("len")), ["seq"], "no")).df
+    whole = 0 if reference is None else 1  # sequences of a reference count as wholes too, so that their copies are told
 
-    def ends(side: str) -> DataFrame:
+    def parts(rows: DataFrame, side: str) -> DataFrame:
         part = F.substring("seq", F.lit(1), F.col("n")) if side == "left" else F.substring("seq", F.col("len") - F.col("n") + 1, F.col("n"))
-        cuts = sized.where(F.col("len") > min_part).withColumn("n", F.explode(F.sequence(F.lit(min_part), F.col("len") - 1))).select("no", "size", "n", F.xxhash64(part).alias("h"), F.xxhash64(part, F.lit(7)).alias("h2"))
-        top = cuts.groupBy("n", "h", "h2").agg(F.max(F.struct("size", "no")).alias("top"), F.count("*").alias("k")).where("k > 1").select("n", "h", "h2", "top")
-        found = cuts.join(top, ["n", "h", "h2"]).where(F.col("top.size") >= fold * F.col("size")).groupBy("no").agg(F.max(F.struct("n", F.col("top.no").alias("parent"))).alias("e"))
+        cuts = rows.where(F.col("len") + whole > min_part).withColumn("n", F.explode(F.sequence(F.lit(min_part), F.col("len") - 1 + whole)))
+        return cuts.select("no", "size", "n", F.xxhash64(part).alias("h"), F.xxhash64(part, F.lit(7)).alias("h2"))
+
+    def ends(side: str) -> DataFrame:
+        top = parts(parents, side).groupBy("n", "h", "h2").agg(F.max(F.struct("size", "no")).alias("top"), F.count("*").alias("k"))
+        if reference is None:
+            top = top.where("k > 1")
+        found = parts(sized, side).join(top.select("n", "h", "h2", "top"), ["n", "h", "h2"])
+        if reference is None:
+            found = found.where(F.col("top.size") >= fold * F.col("size"))
+        found = found.groupBy("no").agg(F.max(F.struct("n", F.col("top.no").alias("parent"))).alias("e"))
         return found.select("no", F.col("e.n").alias(f"{side}_n"), F.col("e.parent").alias(f"{side}_no"))
 
     def parent(side: str) -> DataFrame:
-        return sized.select(F.col("no").alias(f"{side}_no"), F.col("seq").alias(side))
+        return parents.select(F.col("no").alias(f"{side}_no"), F.col("seq").alias(side))
 
     both = sized.join(ends("left"), "no", "left").join(ends("right"), "no", "left").join(parent("left"), "left_no", "left").join(parent("right"), "right_no", "left")
-    chimeric = F.coalesce((F.col("left_n") + F.col("right_n") >= F.col("len")) & (F.col("left_no") != F.col("right_no")), F.lit(False))
-    return both.select("seq", "size", "left", "right", chimeric.alias("chimeric"))
+    crossed = (F.col("left_n") < F.col("len")) & (F.col("right_n") < F.col("len")) & (F.col("left_n") + F.col("right_n") >= F.col("len")) & (F.col("left_no") != F.col("right_no"))
+    return both.select("seq", "size", "left", "right", F.coalesce(crossed, F.lit(False)).alias("chimeric"))
 
 
 def search(queries: DataFrame, db: DataFrame, seed: int = 28, max_target_seqs: int = 10, perc_identity: float = 90.0, qcov: float = 90.0) -> DataFrame:

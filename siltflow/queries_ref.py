@@ -91,7 +91,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     li, s, n, r = (_table(spark, d, t) for t in ("lineitem", "supplier", "nation", "region"))
     tax = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed tables of 25 and 5 rows
     tax = tax.select(
-        "s_suppkey", F.col("r_name").alias("kingdom"), F.col("n_name").alias("phylum"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("order"),
+        "s_suppkey", F.col("r_name").alias("kingdom"), F.col("n_name").alias("phylum"), F.concat(F.lit("C"), F.col("s_suppkey") % 7).alias("class"), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("O"), F.col("s_suppkey") % 11)).alias("order"),
         F.concat(F.lit("F"), F.col("s_suppkey") % 20).alias("family"), F.concat(F.lit("G "), F.col("s_suppkey") % 50).alias("genus"), F.col("s_name").alias("species"),
     )
     return li.join(tax, li.l_suppkey == tax.s_suppkey).select(
@@ -264,6 +264,15 @@ def chimeras(spark: SparkSession, d: str) -> DataFrame:
     return cluster.chimeras(_sized(spark, d)).select("seq", "size", "chimeric")
 
 
+def chimeras_ref(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the unique sequences as reference."""
+    from siltflow.operators import cluster
+
+    asked = _table(spark, d, "node").where("seq is not null").groupBy(F.upper("seq").alias("seq")).agg(F.max(F.coalesce("total_count", F.lit(0))).alias("size"))
+    ref = _table(spark, d, "unique_info").where("seq is not null").select(F.upper("seq").alias("seq")).distinct()
+    return cluster.chimeras(asked, reference=ref).select("seq", "size", "chimeric")
+
+
 def search(spark: SparkSession, d: str) -> DataFrame:
     from siltflow.operators import cluster
 
@@ -288,7 +297,7 @@ def streaming_dereplicate(spark: SparkSession, d: str) -> DataFrame:
     return stream.latest(spark, f"{folder}/counts", "cnt")
 
 
-_KERNELS = (find_primer_binding_sites, in_silico, in_silico_strict, pairend, demultiplex, similar_pairs, cluster_table, chimeras, search, streaming_dereplicate)
+_KERNELS = (find_primer_binding_sites, in_silico, in_silico_strict, pairend, demultiplex, similar_pairs, cluster_table, chimeras, chimeras_ref, search, streaming_dereplicate)
 QUERIES |= {f.__name__: f for f in _KERNELS}
 QUERIES |= {f"rarefaction_q{q}": (lambda s, d, q=q: _rarefied(s, d, q)) for q in (0, 1, 2)}
 

@@ -89,7 +89,7 @@ SQL = {
     "merge_replicate_both_occur": _merge("CASE WHEN seen >= 1 THEN s / w ELSE 0 END"),
     "merge_replicate_present_absent": _merge("CASE WHEN seen >= 1 THEN s / w ELSE 0 END", out="1.0::DOUBLE"),
     "find_lca": f"""WITH hits AS (SELECT l_partkey qseqid, l_orderkey || '.' || l_linenumber sseqid, l_suppkey staxids, l_orderkey, l_linenumber, CAST(100 - floor(round(l_discount * 100) / 6) AS INTEGER) pident,
-        CAST(floor(round(l_tax * 100) / 5) AS INTEGER) evalue, CAST(100 - floor(l_quantity / 26) AS INTEGER) qcovs, r_name kingdom, n_name phylum, CAST(NULL AS VARCHAR) "class", CAST(NULL AS VARCHAR) "order", 'F' || (s_suppkey % 20) family, 'G ' || (s_suppkey % 50) genus, s_name species
+        CAST(floor(round(l_tax * 100) / 5) AS INTEGER) evalue, CAST(100 - floor(l_quantity / 26) AS INTEGER) qcovs, r_name kingdom, n_name phylum, 'C' || (s_suppkey % 7) "class", CASE WHEN s_suppkey % 4 > 0 THEN 'O' || (s_suppkey % 11) END "order", 'F' || (s_suppkey % 20) family, 'G ' || (s_suppkey % 50) genus, s_name species
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
       best AS (SELECT * FROM hits QUALIFY pident = max(pident) OVER (PARTITION BY qseqid) AND evalue = min(evalue) OVER (PARTITION BY qseqid) AND qcovs = max(qcovs) OVER (PARTITION BY qseqid)),
       one AS (SELECT qseqid, {", ".join(f'CASE WHEN count(DISTINCT "{r}") = 1 THEN max("{r}") END AS "{r}"' for r in RANKS)}, string_agg(staxids::VARCHAR, ';' ORDER BY l_orderkey, l_linenumber) taxid, string_agg(sseqid, ';' ORDER BY l_orderkey, l_linenumber) accession, max(qcovs) coverage, max(pident) identity FROM best GROUP BY 1),
@@ -176,6 +176,10 @@ SQL |= {
       f AS (SELECT f FROM g ORDER BY no DESC LIMIT 1),
       c AS (SELECT z.s, CASE WHEN f[z.no] THEN z.no ELSE list_min(list_filter(near, lambda x: f[x.o])).o END k FROM f, z LEFT JOIN e ON e.no = z.no)
       SELECT exp experiment, m.s AS "SEQ", sample, CAST(sum(cnt) AS BIGINT) count FROM obs JOIN c ON c.s = obs.seq JOIN z m ON m.no = c.k GROUP BY 1, 2, 3""",
+    "chimeras_ref": """WITH z AS (SELECT upper(seq) seq, max(coalesce(total_count, 0)) size, length(seq) len FROM node WHERE seq IS NOT NULL GROUP BY upper(seq), length(seq)), p AS (SELECT DISTINCT upper(seq) seq, length(seq) len FROM unique_info WHERE seq IS NOT NULL),
+      lt AS (SELECT p, max(seq) par FROM (SELECT seq, left(seq, n) p FROM (SELECT seq, unnest(range(24, len + 1)) n FROM p WHERE len >= 24)) GROUP BY 1), rt AS (SELECT p, max(seq) par FROM (SELECT seq, right(seq, n) p FROM (SELECT seq, unnest(range(24, len + 1)) n FROM p WHERE len >= 24)) GROUP BY 1),
+      lb AS (SELECT seq, max(n) n, arg_max(par, n) par FROM (SELECT seq, n, left(seq, n) p FROM (SELECT seq, unnest(range(24, len + 1)) n FROM z)) JOIN lt USING (p) GROUP BY 1), rb AS (SELECT seq, max(n) n, arg_max(par, n) par FROM (SELECT seq, n, right(seq, n) p FROM (SELECT seq, unnest(range(24, len + 1)) n FROM z)) JOIN rt USING (p) GROUP BY 1)
+      SELECT z.seq, z.size, coalesce(lb.n < len AND rb.n < len AND lb.n + rb.n >= len AND lb.par <> rb.par, false) chimeric FROM z LEFT JOIN lb USING (seq) LEFT JOIN rb USING (seq)""",
     "chimeras": f"""WITH {_OBS}, z AS (SELECT seq, CAST(sum(cnt) AS BIGINT) size, length(seq) len FROM obs GROUP BY 1),
       l AS (SELECT seq, size, n, left(seq, n) p FROM (SELECT seq, size, unnest(range(24, len)) n FROM z WHERE len > 24)), r AS (SELECT seq, size, n, right(seq, n) p FROM (SELECT seq, size, unnest(range(24, len)) n FROM z WHERE len > 24)),
       lt AS (SELECT p, max({{'size': size, 'seq': seq}}) t FROM l GROUP BY 1), rt AS (SELECT p, max({{'size': size, 'seq': seq}}) t FROM r GROUP BY 1),
