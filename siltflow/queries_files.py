@@ -156,6 +156,18 @@ def archive_listing(spark: SparkSession, d: str) -> DataFrame:
     return files.read_listing(spark, path).withColumn("size_gb", F.round("size_gb", 6))
 
 
+def archive_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Databases of a directory page with their parts; the brands stand for databases."""
+    name = F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("."), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit(".tar.gz"))
+    page = _table(spark, d, "part").select(F.concat(F.lit('<a href="'), name, F.lit('">'), name, F.lit("</a>   2024-01-02 03:04  "), "p_size", F.lit("G")).alias("line"))
+    return files.archives_of(files.listing(page, "line"))
+
+
+def iupac_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Records that hold a pattern with ambiguity codes."""
+    return _table(spark, d, "node").where("node_id is not null and seq is not null").select("node_id", F.upper("seq").rlike(iupac.class_regex("ACYGRNTW")).alias("found")).distinct()
+
+
 def taxonomy_database(spark: SparkSession, d: str) -> DataFrame:
     """Nodes with names and accessions out of a database made of them."""
     out, o = _folder(spark), _table(spark, d, "orders")
@@ -183,6 +195,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         fastq_records, fastq_merged_records, fasta_records, fasta_index, sniffed_files, primer_table_file, control_file, nodes_dump, names_dump, accession_files, checklist_file, checklist_columns, blast_file, clusters_file,
-        archive_listing, taxonomy_database, denoise_headers,
+        archive_listing, archive_sizes, iupac_matches, taxonomy_database, denoise_headers,
     )
 }

@@ -280,6 +280,13 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return cluster.search(asked, _refs(spark, d).withColumnRenamed("name", "id"))
 
 
+def search_aligned(spark: SparkSession, d: str) -> DataFrame:
+    from siltflow.operators import align
+
+    asked = _table(spark, d, "unique_info").where("uniq_id is not null").groupBy(F.col("uniq_id").alias("id")).agg(F.min("seq").alias("seq"))
+    return align.align_hits(search(spark, d), asked, _refs(spark, d).withColumnRenamed("name", "id"))
+
+
 def streaming_dereplicate(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
@@ -297,7 +304,7 @@ def streaming_dereplicate(spark: SparkSession, d: str) -> DataFrame:
     return stream.latest(spark, f"{folder}/counts", "cnt")
 
 
-_KERNELS = (find_primer_binding_sites, in_silico, in_silico_strict, pairend, demultiplex, similar_pairs, cluster_table, chimeras, chimeras_ref, search, streaming_dereplicate)
+_KERNELS = (find_primer_binding_sites, in_silico, in_silico_strict, pairend, demultiplex, similar_pairs, cluster_table, chimeras, chimeras_ref, search, search_aligned, streaming_dereplicate)
 QUERIES |= {f.__name__: f for f in _KERNELS}
 QUERIES |= {f"rarefaction_q{q}": (lambda s, d, q=q: _rarefied(s, d, q)) for q in (0, 1, 2)}
 

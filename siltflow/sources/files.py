@@ -188,6 +188,12 @@ def listing(pages: DataFrame, col: str) -> DataFrame:
     return df.where("file_name like '%tar.gz'").select("file_name", "date", (F.col("size").try_cast("double") * scale).alias("size_gb"))
 
 
+def archives_of(files: DataFrame) -> DataFrame:
+    """(database, archives, size_gb): the parts ``<database>.<number>.tar.gz`` of each database and what they take together."""
+    name = F.regexp_extract("file_name", r"^(.*?)(\.[0-9]+)?\.tar\.gz$", 1)
+    return files.groupBy(name.alias("database")).agg(F.count("*").alias("archives"), F.sum("size_gb").alias("size_gb"))
+
+
 def unpack(archive: str, to: str) -> list[str]:
     """Names of the members of a tar archive, unpacked into a folder."""
     with tarfile.open(os.path.expanduser(archive)) as t:

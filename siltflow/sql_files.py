@@ -26,6 +26,8 @@ SQL = {
       5 sstart, CAST(l_quantity + 4 AS INTEGER) send, 1e-30 evalue, l_quantity * 2 bitscore, CAST(100 AS DOUBLE) qcovs, l_suppkey || ';' || l_linenumber staxids FROM lineitem""",
     "clusters_file": "SELECT DISTINCT 'H' AS type, CAST(node_id % 100 AS INTEGER) AS cluster, CAST(120 AS INTEGER) c_length, '98.5' similarity, '+' orientation, 'n' || node_id \"query_ID\", 'n' || (node_id % 100) \"centroid_ID\" FROM node WHERE node_id IS NOT NULL",
     "archive_listing": "SELECT 'nt.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.tar.gz' file_name, '2024-01-02 03:04' AS date, round((p_size + 0.5::DOUBLE) / CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 1024 END, 6) size_gb FROM part WHERE p_partkey % 3 <> 0",
+    "archive_sizes": "SELECT replace(p_brand, '#', '_') AS database, count(*) archives, CAST(sum(p_size) AS DOUBLE) size_gb FROM part GROUP BY 1",
+    "iupac_matches": "SELECT DISTINCT node_id, regexp_matches(upper(seq), 'AC[CTY]G[AGR][ACGTN]T[ATW]') AS found FROM node WHERE node_id IS NOT NULL AND seq IS NOT NULL",
     "taxonomy_database": """SELECT n.tax_id, parent_tax_id, rank, name, accessions, first_accession FROM (SELECT DISTINCT tax_id, parent_tax_id, rank FROM nodes) n LEFT JOIN (SELECT DISTINCT * FROM tax_names) USING (tax_id)
       LEFT JOIN (SELECT o_custkey % 1500 tax_id, count(*) accessions, min('A' || o_orderkey) first_accession FROM orders GROUP BY 1) USING (tax_id)""",
     "denoise_headers": _REF["denoise_default"],

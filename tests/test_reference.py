@@ -8,7 +8,7 @@ import pytest
 from siltflow.functions import iupac
 from siltflow.functions.iupac import revcomp
 from siltflow.functions.seeds import seeds, window_hashes
-from siltflow.operators import cluster, colmatch, denoise, derep, diversity, pairend, primers, tables, taxonomy
+from siltflow.operators import align, cluster, colmatch, denoise, derep, diversity, pairend, primers, tables, taxonomy
 from siltflow.plans.order import numbered
 from siltflow.sources import external, files
 from siltflow.streaming import derep as stream
@@ -307,6 +307,35 @@ def test_chimera_and_search(spark):
     assert [(r.qseqid, r.sseqid) for r in cluster.search(q, db).collect()] == [("q", "a")]
 
 
+def plain_local(a, b):
+    h, best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0.0
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            h[i][j] = max(0.0, h[i - 1][j - 1] + (1 if x == y else -2), h[i - 1][j] - 2.5, h[i][j - 1] - 2.5)
+            best = max(best, h[i][j])
+    return best
+
+
+def test_alignments_against_plain_tables(spark):
+    rng = random.Random(4)
+    a = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 50))) for _ in range(40)]
+    b = [x[5:20] + "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 9))) + x[22:45] for x in a]
+    for q, s, (score, cells) in zip(a, b, align.best_paths(a, b)):
+        assert score == plain_local(q, s)
+        row = align.describe(q, s, score, cells, 1000)
+        if row:
+            pident, length, mismatch, gapopen, q0, q1, s0, s1 = row[:8]
+            equal = round(pident * length / 100)
+            gaps = length - equal - mismatch
+            assert equal - 2 * mismatch - 2.5 * gaps == score and (q1 - q0 + 1) + (s1 - s0 + 1) == 2 * length - gaps and gapopen <= gaps
+    q, t = "TTTACGTACGTAGGATCCA", "ACGTACGTACGGATCCA"
+    seqs = lambda x: spark.createDataFrame(x, "id string, seq string")
+    hits = spark.createDataFrame([("q", "t"), ("q", "t"), ("q", "u"), ("z", "t")], "qseqid string, sseqid string")
+    (r,) = align.align_hits(hits, seqs([("q", q.lower()), ("z", None)]), seqs([("t", t), ("u", "")])).collect()
+    assert (r.qseqid, r.sseqid, r.qend, r.send) == ("q", "t", 19, 17) and r.bitscore > 10
+    assert align.align_hits(hits.limit(0), seqs([("q", q)]), seqs([("t", t)])).count() == 0
+
+
 def test_common_stretches_have_common_seeds():
     rng = random.Random(8)
     texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 27, 28, 90, 200)]
