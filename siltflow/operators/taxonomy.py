@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltflow.operators import hierarchy
 from siltflow.plans.order import numbered
+from siltflow.plans.skew import hot_values, salted_lookup
 
 # The main ranks from the highest down.
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
@@ -16,7 +17,7 @@ def lineages(nodes: DataFrame, id_col: str, parent_col: str, rank_col: str, name
     """(id, one column per rank): the name of the nearest node of that rank at or above each id.
 
     Lineages come from the hierarchy operator, so there is no loop over levels and depth costs nothing; at most
-    ``max_depth`` steps up are looked at. A node that is its own parent names no other node unless ``roots_named``. Nodes on or below a loop
+    ``max_depth`` steps up are looked at. The top of a tree is above all its nodes: lookups of such nodes are salted. A node that is its own parent names no other node unless ``roots_named``. Nodes on or below a loop
     have their own name only.
     """
     link = hierarchy.links(nodes, id_col, parent_col)
@@ -24,9 +25,9 @@ def lineages(nodes: DataFrame, id_col: str, parent_col: str, rank_col: str, name
     own = nodes.select(F.col(id_col).cast("string").alias("at"), F.col(rank_col).alias("rank"), F.col(name_col).alias("name"), (F.col(id_col).cast("string") == F.col(parent_col).cast("string")).alias("self")).where("at is not null")
     own = own.groupBy("at").agg(F.min(F.struct(F.col("rank").alias("rank"), F.col("name").alias("name"))).alias("n"), F.coalesce(F.max("self"), F.lit(False)).alias("self")).select("at", "n.rank", "n.name", "self")
     path = F.when(F.col("depth") >= 0, F.reverse(F.slice(F.reverse("path"), 1, max_depth + 1))).otherwise(F.array("id"))
-    steps = tree.select("id", F.posexplode(F.reverse(path)).alias("up", "at"))
+    steps = tree.select("id", F.posexplode(F.reverse(path)).alias("up", "above"))
     named = own.where(F.col("rank").isin(*ranks) & F.col("name").isNotNull())
-    found = steps.join(named, "at").where((F.col("up") == 0) | ~F.col("self") | F.lit(roots_named))
+    found = salted_lookup(steps, "above", named, "at", hot_values(steps, "above")).where((F.col("up") == 0) | ~F.col("self") | F.lit(roots_named))
     wide = found.groupBy("id").agg(*[F.min_by(F.when(F.col("rank") == r, F.col("name")), F.when(F.col("rank") == r, F.col("up"))).alias(r) for r in ranks])
     return link.select("id").join(wide, "id", "left")
 
