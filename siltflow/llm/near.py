@@ -58,7 +58,7 @@ def schemes(similarity: float) -> list[Scheme]:
     for number, (low, high) in enumerate(zip(BOUNDS, (*BOUNDS[1:], 1 << 40))):
         least = min(math.ceil((1 - a) * n / (int(a * n / (GRAM - 1) + 1e-9) + 1) - 1e-9) for n in range(low, min(high, 4000)))
         letters = GRAM - 1 + max(1, least)
-        anchor = max(GRAM, min(16, letters - letters // 8))
+        anchor = max(GRAM, min(14, letters - letters // 8))
         out.append(Scheme(number, low, high, letters - GRAM + 1, anchor, letters - anchor + 1))
     return out
 
@@ -204,6 +204,22 @@ def scan(keys: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, side: np.ndar
     return tuple(np.concatenate(found, axis=1))
 
 
+def _hot_posts(picks: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
+    """(anchor, key): hot anchors of the texts that could have all their common stretches in hot ones. ``hot`` has at most MOST_HOT rows, as counted."""
+    in_hot = picks.join(F.broadcast(hot), "anchor", "left_semi")
+    allowed = F.lit(0.0)
+    for s in schemes(similarity):
+        allowed = F.when(F.col("scheme") == s.number, hot_allowed(F.col("size"), s, similarity)).otherwise(allowed)
+    # Substrings in the stretches of a text's hot anchors, stretches in order and overlaps counted once.
+    covered = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("begin", "end"))),
+        F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), (acc["n"] + F.greatest(x["end"] - F.greatest(acc["upto"], x["begin"]), F.lit(0))).alias("n")),
+    )["n"]
+    mostly = in_hot.groupBy("key", "scheme", "size").agg(covered.alias("covered")).where(F.col("covered") > allowed).select("key", "scheme")
+    return in_hot.join(mostly, ["key", "scheme"], "left_semi").select("anchor", "key")
+
+
 def similar_classes(texts: DataFrame, similarity: float = 0.6) -> DataFrame:
     """(a, b), a < b: pairs of keys of distinct texts of at least ``similarity``; ``texts`` has key (long) and seq.
 
@@ -237,22 +253,11 @@ def similar_classes(texts: DataFrame, similarity: float = 0.6) -> DataFrame:
     picks = store(seqs.select("key", "seq", "size").mapInPandas(sketch, "scheme int, anchor long, begin int, end int, key long, size int")).df
     counts = store(picks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")).df
     many = SHARD
-    while counts.where(F.col("n") > many).count() > MOST_HOT:
+    while (n_hot := counts.where(F.col("n") > many).count()) > MOST_HOT:
         many *= 2
-    hot = F.broadcast(counts.where(F.col("n") > many).select("anchor"))  # at most MOST_HOT, as counted
-    in_hot = picks.join(hot, "anchor", "left_semi")
-    allowed = F.lit(0.0)
-    for s in schemes(similarity):
-        allowed = F.when(F.col("scheme") == s.number, hot_allowed(F.col("size"), s, similarity)).otherwise(allowed)
-    # Substrings in the stretches of a text's hot anchors, stretches in order and overlaps counted once.
-    covered = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("begin", "end"))),
-        F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), (acc["n"] + F.greatest(x["end"] - F.greatest(acc["upto"], x["begin"]), F.lit(0))).alias("n")),
-    )["n"]
-    mostly = in_hot.groupBy("key", "scheme", "size").agg(covered.alias("covered")).where(F.col("covered") > allowed).select("key", "scheme")
-    still = store(in_hot.join(mostly, ["key", "scheme"], "left_semi").select("anchor", "key")).df
     met = picks.select("anchor", "key").join(counts.where(F.col("n") <= many), "anchor")
+    none = picks.select("anchor", "key").limit(0)
+    still = store(_hot_posts(picks, counts.where(F.col("n") > many).select("anchor"), similarity)).df if n_hot else none
     again = still.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     size_of = lambda c: F.when(F.col(c) > COMMON, F.ceil(F.col(c) / SHARD)).otherwise(1).cast("int")
     total = counts.where(F.col("n") <= many).select("n").union(again.select("n")).agg(F.sum(F.col("n") * size_of("n"))).first()[0] or 0
@@ -303,14 +308,14 @@ def similar_texts(df: DataFrame, id_col: str, seq_col: str, map_col: str, simila
     """(members, links): the class of each record, and the pairs of classes of similar upper-cased texts.
 
     ``members`` has id, keys (hashes of its (exp, sample) keys), key (its class, the least id of its text) and n (records of the class); ``links`` has a and b. Copies are
-    not expanded into pairs. Repeated rows of an id count once, of differing ones the least text and the greatest map decide.
+    not expanded into pairs. Repeated rows of an id count once, of differing ones the least text and the map of greatest hash decide.
     Null ids, null or short texts and null or empty maps have no class.
     """
     keys = F.array_distinct(F.flatten(F.transform(F.map_entries("m"), lambda e: F.transform(F.map_keys(e["value"]), lambda s: F.xxhash64(e["key"], s)))))
     one = (
         df.where(F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("id"))
-        .agg(F.upper(F.min(seq_col)).alias("seq"), F.max_by(map_col, F.to_json(map_col)).alias("m"))
+        .agg(F.upper(F.min(seq_col)).alias("seq"), F.max_by(map_col, F.when(F.col(map_col).isNotNull(), F.xxhash64(F.to_json(map_col)))).alias("m"))
         .where(F.length("seq") >= GRAM)
         .select("id", "seq", keys.alias("keys"))
         .where(F.size("keys") > 0)
