@@ -11,6 +11,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltflow.plans.lineage import store
+
 # Letters of other scripts beside the Latin letters they look like. They come before what Unicode's own
 # table of confusable characters says of the rest, see ``confusable``.
 CYRILLIC = "АВЕЅІЈКМНОРСТХҮԌԚԜ" + "аеѕіјорсухһԁԛԝӏү"
@@ -90,6 +92,17 @@ def _lookup(table: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
+def _any_of(chars: str) -> str:
+    """A character class of a regular expression, neighbours in code order as ranges."""
+    out, points = [], sorted(map(ord, chars))
+    for n, p in enumerate(points):
+        if n and p == points[n - 1] + 1:
+            out[-1] = (out[-1][0], p)
+        else:
+            out.append((p, p))
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def plain_letters(text: Column) -> Column:
     """Every character by itself: spaces, and the letters and digits that other characters look like. Shapeless characters and separate accents stay."""
     one, several, _ = tables()
@@ -97,7 +110,7 @@ def plain_letters(text: Column) -> Column:
     plain = F.translate(text, "".join(kept), "".join(kept.values()))
     wide = _lookup(several)
     opened = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.element_at(wide, c), c)), "")
-    return F.when(plain.rlike("[" + "".join(several) + "]"), opened).otherwise(plain)
+    return F.when(plain.rlike(_any_of("".join(several))), opened).otherwise(plain)
 
 
 def tidy(plain: Column) -> Column:
@@ -135,6 +148,7 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     Null is left out; empty input gives an empty result.
     """
     mapped = values.where(_odd(F.col("value"))).select("value", plain_letters(F.col("value")).alias("plain")).withColumn("tidy", tidy(F.col("plain")))
+    mapped = store(mapped).df  # read twice
     return values.sparkSession.sql(
         """
         SELECT m.value, c.canon AS clean
