@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltflow.operators import hierarchy
+from siltflow.plans.lineage import store
 from siltflow.plans.order import numbered
 from siltflow.plans.skew import hot_values, salted_lookup
 
@@ -68,6 +69,7 @@ def find_lca(hits: DataFrame, order: list[str], query: str = "qseqid", ranks: li
         one = best.select(F.col("_q").alias(query)).join(one, query, "left")
     deepest = F.coalesce(*[F.when(F.col(r).isNotNull(), F.lit(r)) for r in reversed(ranks)])
     one = one.withColumn("rank", deepest).withColumn("_n", F.coalesce(*[F.col(r) for r in reversed(ranks)]))
+    one = store(one).df  # numbering reads it apart
     named = F.coalesce(F.col("rank") == ranks[-1], F.lit(True))
     # A lineage of high rank may be that of a large part of all queries: its numbers are not counted in one task.
     counted = numbered(one.where(~named), [query], "_k", ranks)
