@@ -78,11 +78,14 @@ def slot_registers(df: DataFrame, entity: Sequence[str], attribute: str, version
     input gives an empty RDD; further columns of ``df`` are never read.
     """
     n = len(entity)
-    rdd = df.select(*entity, attribute, version, tie, *values).rdd
+    when = F.col(version)
+    if dict(df.dtypes)[version].startswith("timestamp"):
+        when = F.unix_micros(when.cast("timestamp"))  # a number is read faster than a point in time
+    rdd = df.select(*entity, attribute, when, tie, *values).rdd
 
     def cell(row: Any) -> tuple:
         slot = read_attribute(row[n])
-        order = (row[n + 1] is not None, row[n + 1].timestamp() if hasattr(row[n + 1], "timestamp") else row[n + 1] or 0, row[n + 2] is not None, row[n + 2] or 0)
+        order = (row[n + 1] is not None, row[n + 1] or 0, row[n + 2] is not None, row[n + 2] or 0)
         return tuple(row[:n]), (slot, (order, tuple("" if v is None else "v" + v for v in row[n + 3 :])))
 
     def create(c: tuple) -> dict:
