@@ -30,7 +30,7 @@ def sniff(path: str) -> tuple[bool, str]:
 
 
 def sniff_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(path, packed, kind) of every file that is not empty at a path of any file system; only the first bytes of each are read."""
+    """(path, packed, kind) of every file that is not empty at a path. Of local files only the beginning is read, of others the whole."""
     first = spark.read.format("binaryFile").load(os.path.expanduser(path)).where("length > 0").select("path")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 import math
 import random
+import tarfile
 
 import numpy as np
 import pandas as pd
@@ -390,8 +391,20 @@ def test_files(spark, tmp_path):
     assert [(r.file_name, r.size_gb) for r in files.listing(page, "l").collect()] == [("nt.00.tar.gz", 2.5)]
     (tmp_path / "c.tsv").write_text("col:ID\tcol:parentID\tcol:scientificName\tcol:rank\nx\t\tAbc\tgenus\n")
     assert files.read_checklist(spark, str(tmp_path / "c.tsv")).columns == ["taxon_id", "parent_id", "scientific_name", "rank"]
+    with tarfile.open(tmp_path / "d.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "names.dmp", "names.dmp")
+    (tmp_path / "out").mkdir()
+    assert files.unpack(str(tmp_path / "d.tar.gz"), str(tmp_path / "out")) == ["names.dmp"]
+    assert files.read_names(spark, str(tmp_path / "out" / "names.dmp")).count() == 1
+    (tmp_path / "two").mkdir()
+    for k, lines in (("a", "x1\nx2\n"), ("b", "y1\r\ny2\ny3"), ("c", "")):
+        (tmp_path / "two" / f"{k}.txt").write_bytes(lines.encode())
+    assert sorted(map(tuple, files.numbered_lines(spark, str(tmp_path / "two")).collect())) == [(0, "x1"), (1, "x2"), (2, "y1"), (3, "y2"), (4, "y3")]
     with pytest.raises(ValueError):
         external.chimera_args("a", "b", "uchime_ref")
+    assert external.cluster_args("a", "b", 0.9)[-1] == "1" and "6 std qcovs staxids" in external.search_args("q", "o", "db")
+    with pytest.raises(FileNotFoundError):
+        external.find("no-such-program-here")
     assert primers.split_tags("aa:cc") == ("AA", "CC") and primers.split_tags(":aa") == (":AA", ":AA")
 
 
