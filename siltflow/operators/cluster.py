@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltflow.functions.seeds import seeds
+from siltflow.operators.beginnings import longest_beginnings
 from siltflow.plans.lineage import read_all, store
 from siltflow.plans.order import numbered
 from siltflow.plans.spread import spread
@@ -76,42 +77,63 @@ def cluster_table(long: DataFrame, clusters: DataFrame) -> DataFrame:
     return long.join(clusters.select(F.col("seq").alias("SEQ"), "centroid"), "SEQ").groupBy("experiment", F.col("centroid").alias("SEQ"), "sample").agg(F.sum("count").alias("count"))
 
 
-def chimeras(seqs: DataFrame, fold: float = 2.0, min_part: int = 24, reference: DataFrame | None = None) -> DataFrame:
+def _crossed() -> Column:
+    """A beginning and an end of two parents, neither of which holds the sequence whole, cover it."""
+    n, m, size = F.col("left_n"), F.col("right_n"), F.col("len")
+    return F.coalesce((n < size) & (m < size) & (n + m >= size) & (F.col("left_no") != F.col("right_no")), F.lit(False)).alias("chimeric")
+
+
+def _reference_chimeras(seqs: DataFrame, reference: DataFrame, min_part: int, named: bool) -> DataFrame:
+    """``chimeras`` with a reference: both are sorted together, once as they are and once from the end, so nothing is made for each beginning and end."""
+    kinds = dict(seqs.dtypes)
+    both = seqs.select(F.col("seq").alias("text"), F.lit(True).alias("asked"), "size")
+    both = both.union(reference.select("seq", F.lit(False), F.lit(None).cast(kinds["size"])))
+    # Numbers in the order of the sequences stand for them; of parents the last one counts.
+    left = store(longest_beginnings(both, min_part, True)).df
+    right = store(longest_beginnings(left.select(F.reverse("text").alias("text"), "asked", "no"), min_part, False)).df
+    some = lambda name: F.when(F.col("n") > 0, F.col(name))
+    ends = right.select("no", some("n").alias("right_n"), some("top").alias("right_no"))
+    mine = left.where("asked").select(F.col("text").alias("seq"), "size", "no", F.length("text").alias("len"), some("n").alias("left_n"), some("top").alias("left_no"))
+    found = mine.join(ends, "no", "left")
+    if not named:
+        return found.select("seq", "size", _crossed())
+    parent = lambda side: left.where("not asked").select(F.col("no").alias(f"{side}_no"), F.col("text").alias(side))
+    return found.join(parent("left"), "left_no", "left").join(parent("right"), "right_no", "left").select("seq", "size", "left", "right", _crossed())
+
+
+def chimeras(seqs: DataFrame, fold: float = 2.0, min_part: int = 24, reference: DataFrame | None = None, named: bool = True) -> DataFrame:
     """(seq, size, left, right, chimeric): sequences that are a beginning of one parent and an end of another.
 
     Approximate next to alignment-based detection: the parts are exact. For each length the most
     frequent holder of a beginning is found by aggregation, no pairs are made. A sequence is chimeric when the longest
     beginning and the longest end found in parents, each of ``min_part`` letters or more, cover it and no parent holds it from its beginning or to its end whole.
-    Parents are sequences at least ``fold`` times as frequent, or those of ``reference`` (seq, unique), where one is given.
+    Parents are sequences at least ``fold`` times as frequent, or those of ``reference`` (seq, unique), where one is given; then ends are found in sorted order.
     What is shuffled for each beginning and end is two hashes and a number, not the sequence. ``seqs`` has seq, unique, and size.
+    Without ``named`` the parents' sequences, left and right, are not looked up.
     """
+    if reference is not None:
+        return _reference_chimeras(seqs, reference, min_part, named)
     # Numbers in the order of the sequences stand for them: of equally frequent parents the last one counts.
-    mine = seqs.select("seq", "size", F.length("seq").alias("len"))
-    sized = store(numbered(mine, ["seq"], "no")).df
-    parents = sized if reference is None else store(numbered(reference.select("seq", F.lit(0).cast("long").alias("size"), F.length("seq").alias("len")), ["seq"], "no")).df
-    whole = 0 if reference is None else 1  # sequences of a reference count as wholes too, so that their copies are told
+    sized = store(numbered(seqs.select("seq", "size", F.length("seq").alias("len")), ["seq"], "no")).df
 
-    def parts(rows: DataFrame, side: str) -> DataFrame:
+    def parts(side: str) -> DataFrame:
         part = F.substring("seq", F.lit(1), F.col("n")) if side == "left" else F.substring("seq", F.col("len") - F.col("n") + 1, F.col("n"))
-        cuts = rows.where(F.col("len") + whole > min_part).withColumn("n", F.explode(F.sequence(F.lit(min_part), F.col("len") - 1 + whole)))
+        cuts = sized.where(F.col("len") > min_part).withColumn("n", F.explode(F.sequence(F.lit(min_part), F.col("len") - 1)))
         return cuts.select("no", "size", "n", F.xxhash64(part).alias("h"), F.xxhash64(part, F.lit(7)).alias("h2"))
 
     def ends(side: str) -> DataFrame:
-        top = parts(parents, side).groupBy("n", "h", "h2").agg(F.max(F.struct("size", "no")).alias("top"), F.count("*").alias("k"))
-        if reference is None:
-            top = top.where("k > 1")
-        found = parts(sized, side).join(top.select("n", "h", "h2", "top"), ["n", "h", "h2"])
-        if reference is None:
-            found = found.where(F.col("top.size") >= fold * F.col("size"))
+        top = parts(side).groupBy("n", "h", "h2").agg(F.max(F.struct("size", "no")).alias("top"), F.count("*").alias("k")).where("k > 1")
+        found = parts(side).join(top.select("n", "h", "h2", "top"), ["n", "h", "h2"]).where(F.col("top.size") >= fold * F.col("size"))
         found = found.groupBy("no").agg(F.max(F.struct("n", F.col("top.no").alias("parent"))).alias("e"))
         return found.select("no", F.col("e.n").alias(f"{side}_n"), F.col("e.parent").alias(f"{side}_no"))
 
     def parent(side: str) -> DataFrame:
-        return parents.select(F.col("no").alias(f"{side}_no"), F.col("seq").alias(side))
+        return sized.select(F.col("no").alias(f"{side}_no"), F.col("seq").alias(side))
 
-    both = sized.join(ends("left"), "no", "left").join(ends("right"), "no", "left").join(parent("left"), "left_no", "left").join(parent("right"), "right_no", "left")
-    crossed = (F.col("left_n") < F.col("len")) & (F.col("right_n") < F.col("len")) & (F.col("left_n") + F.col("right_n") >= F.col("len")) & (F.col("left_no") != F.col("right_no"))
-    return both.select("seq", "size", "left", "right", F.coalesce(crossed, F.lit(False)).alias("chimeric"))
+    both = sized.join(ends("left"), "no", "left").join(ends("right"), "no", "left")
+    if not named:
+        return both.select("seq", "size", _crossed())
+    return both.join(parent("left"), "left_no", "left").join(parent("right"), "right_no", "left").select("seq", "size", "left", "right", _crossed())
 
 
 def search(queries: DataFrame, db: DataFrame, seed: int = 28, max_target_seqs: int = 10, perc_identity: float = 90.0, qcov: float = 90.0) -> DataFrame:

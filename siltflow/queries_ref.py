@@ -270,7 +270,7 @@ def chimeras_ref(spark: SparkSession, d: str) -> DataFrame:
 
     asked = _table(spark, d, "node").where("seq is not null").groupBy(F.upper("seq").alias("seq")).agg(F.max(F.coalesce("total_count", F.lit(0))).alias("size"))
     ref = _table(spark, d, "unique_info").where("seq is not null").select(F.upper("seq").alias("seq")).distinct()
-    return cluster.chimeras(asked, reference=ref).select("seq", "size", "chimeric")
+    return cluster.chimeras(asked, reference=ref, named=False).select("seq", "size", "chimeric")
 
 
 def search(spark: SparkSession, d: str) -> DataFrame:

@@ -308,6 +308,30 @@ def test_chimera_and_search(spark):
     assert [(r.qseqid, r.sseqid) for r in cluster.search(q, db).collect()] == [("q", "a")]
 
 
+def test_reference_chimeras_in_sorted_order(spark):
+    """Beginnings that many share lie in several ranges; nothing is made for each beginning."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("AC") for _ in range(n))
+    starts, stops = [word(5) for _ in range(3)], [word(5) for _ in range(3)]
+    ref = sorted({rng.choice(starts) + word(rng.randrange(0, 7)) + rng.choice(stops) for _ in range(150)})
+    asked = sorted({*[rng.choice(ref)[: rng.randrange(3, 12)] + rng.choice(ref)[-rng.randrange(3, 12) :] for _ in range(150)], *ref[:20], "AC", "", "G" * 9})
+    # One text is one range of its own when there are few.
+    for parents, texts in ((ref, asked), (ref[:2], asked), ([], asked[:20]), (["A" * 8 + w for w in asked], ["A" * 8 + w for w in asked])):
+        got = cluster.chimeras(spark.createDataFrame([(t, 1) for t in texts], "seq string, size long"), min_part=4, reference=spark.createDataFrame([(t,) for t in parents], "seq string"))
+        assert "Generate" not in got._jdf.queryExecution().toString()
+        rows = {r.seq: (r.left, r.right, r.chimeric) for r in got.collect()}
+
+        def best(text, has, part):
+            n = next((n for n in range(len(text), 3, -1) if any(has(p, part(text, n)) for p in parents)), 0)
+            return n, max((p for p in parents if n and has(p, part(text, n))), default=None)
+
+        want = {}
+        for t in texts:
+            (ln, lp), (rn, rp) = best(t, str.startswith, lambda t, n: t[:n]), best(t, str.endswith, lambda t, n: t[len(t) - n :])
+            want[t] = (lp, rp, bool(lp and rp and ln < len(t) and rn < len(t) and ln + rn >= len(t) and lp != rp))
+        assert rows == want
+
+
 def plain_local(a, b):
     h, best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0.0
     for i, x in enumerate(a, 1):
