@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltflow.plans.lineage import store
+from siltflow.plans.lineage import release, store
 
 
 def _unique(obs: DataFrame, min_count: int | None = None, min_len: int = 0, max_len: int | None = None) -> DataFrame:
@@ -70,6 +70,7 @@ def _near(unique: DataFrame, max_diff: int, max_indel: int, threshold: float | N
     if threshold is not None:
         met = met.where(F.least("cnt_a", "cnt_b") / F.greatest("cnt_a", "cnt_b") <= threshold)
     met = store(met.select("exp", "sample", "no_a", "no_b", "cnt_a", "cnt_b").distinct()).df
+    release(met.sparkSession)
     named = lambda x: text.select(F.col("no").alias(f"no_{x}"), F.col("seq").alias(x), F.col("s").alias(f"s{x}"), F.col("len").alias(f"l{x}"))
     both = met.select("no_a", "no_b").distinct().join(named("a"), "no_a").join(named("b"), "no_b")
     differ = F.aggregate(F.sequence(F.lit(1), F.col("la")), F.lit(0), lambda n, i: n + (F.substring("sa", i, F.lit(1)) != F.substring("sb", i, F.lit(1))).cast("int"))
@@ -104,6 +105,7 @@ def denoise(obs: DataFrame, threshold: float = 0.05, max_diff: int = 1, max_inde
     Sequences have numbers until the end, when the counts kept fetch theirs.
     """
     unique = _unique(obs, min_count, min_len, max_len)
+    release(unique.sparkSession)
     near = _near(unique, max_diff, max_indel, threshold)
     a_child = (F.col("cnt_a") < F.col("cnt_b")) | ((F.col("cnt_a") == F.col("cnt_b")) & ~F.col("a_less"))
     ends = near.select("exp", "sample", F.explode(F.array(F.struct(F.col("no_a").alias("no"), a_child.alias("out")), F.struct(F.col("no_b").alias("no"), (~a_child).alias("out")))).alias("e"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -75,6 +76,12 @@ def read_all(tables: Sequence[Stored]) -> DataFrame:
     return tables[0].spark.read.schema(tables[0].schema).parquet(*[t.path for t in tables])
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to, as those of tables just stored; it only notices after a collection of the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that ``store`` has written; for the end of a job, once no result of it is read any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
